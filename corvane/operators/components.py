@@ -34,7 +34,7 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: the neighbours of a vertex that are greater move to its least neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = lookup_join(both.filter("v > u"), least, "u").select(F.col("m").alias("u"), "v").filter("u != v").distinct()
+        large = lookup_join(both.filter("v > u"), least, "u", rows=state[0]).select(F.col("m").alias("u"), "v").filter("u != v").distinct()
         large = cut(large.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         # small star: a vertex and its smaller neighbours move to the least of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))

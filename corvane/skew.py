@@ -25,13 +25,15 @@ def _among(key: str, values: list) -> Column:
     return F.coalesce(F.col(key).isin(values), F.lit(False))
 
 
-def lookup_join(many: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
     """Join ``many`` to ``one``, where ``one`` has at most one row a key.
 
     Rows of hot keys meet a broadcast of at most ``HOT_KEYS`` rows of ``one``;
-    the others are shuffled. ``how`` is ``left`` or ``inner``; null keys match nothing.
+    the others are shuffled. ``how`` is ``left`` or ``inner``; null keys match
+    nothing. ``rows``, an upper bound of the rows of ``many`` where one is known,
+    saves the search for hot keys when it leaves no room for any.
     """
-    hot = hot_keys(many, key)
+    hot = hot_keys(many, key) if rows is None or rows >= HOT_ROWS else []
     if not hot:
         return many.join(one, key, how)
     few = F.broadcast(one.filter(_among(key, hot)))
@@ -50,7 +52,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 64) ->
     hot = hot_keys(left, key)
     if not hot:
         return left.join(right, key)
-    a = left.filter(_among(key, hot)).withColumn("_salt", F.floor(F.rand(7) * salts).cast("int"))
+    a = left.filter(_among(key, hot)).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     b = right.filter(_among(key, hot)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         left.filter(~_among(key, hot)).join(right.filter(~_among(key, hot)), key)
