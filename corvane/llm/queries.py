@@ -8,7 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups
+from . import groups, mixing, overlaps, sampling, splits
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.group_safe_splits(table(spark, d, "audit_yolo_detection_dataset"), table(spark, d, "split_targets"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _splits(spark, d).filter("crosses").select("record_id")
+
+
+def p1_splits(spark: SparkSession, d: str) -> DataFrame:
+    """One split a record and plan."""
+    return _splits(spark, d).select("record_id", "component", F.explode("splits").alias("s")).select("s.plan_id", "record_id", "component", "s.split")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return splits.split_report(_splits(spark, d), table(spark, d, "audit_yolo_detection_dataset"), table(spark, d, "split_targets"))
+
+
+def _sample(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.proportional_sample(*(table(spark, d, t) for t in ("processed_records", "class_map", "sample_targets")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d)[1].filter("short").select("plan_id", "attr_id")
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d)[0]
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d)[1]
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
@@ -24,5 +57,33 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.cross_split_overlaps(table(spark, d, "same_release_split_leakage_audit"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("train_image_id", "image_id").alias("left_image_id"), F.greatest("train_image_id", "image_id").alias("right_image_id"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_report(_overlaps(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1].filter("short").select("mix_id", "source")
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
