@@ -1,2 +1,52 @@
 """SQL that states the results of ``queries`` where SQL can."""
-ORACLES: dict[str, str] = {}
+
+from __future__ import annotations
+
+_P2 = """
+WITH ranked AS (
+  SELECT instances, row_number() OVER (PARTITION BY image_id ORDER BY updated_at DESC NULLS LAST, row_id DESC) AS k
+  FROM processed_records WHERE image_id IS NOT NULL),
+inst AS (SELECT unnest(instances) AS i FROM ranked WHERE k = 1),
+cat AS (
+  SELECT coalesce(nullif(lower(regexp_replace(i.attr_id, '^\\s+|\\s+$', '', 'g')), ''), m.attr_id) AS attr_id
+  FROM inst LEFT JOIN class_map m ON m.class_id = i.class_id WHERE i IS NOT NULL),
+counts AS (SELECT attr_id, count(*) AS available FROM cat WHERE attr_id IS NOT NULL GROUP BY 1),
+total AS (SELECT coalesce(sum(available), 0) AS n FROM counts),
+report AS (
+  SELECT t.plan_id, t.attr_id, coalesce(c.available, 0) AS available,
+    greatest(t.min_count, ((SELECT n FROM total)::HUGEINT * t.sample_permille * t.target_permille + 999999) // 1000000)::BIGINT AS want
+  FROM sample_targets t LEFT JOIN counts c USING (attr_id))
+"""
+
+_P4 = """
+WITH ranked AS (
+  SELECT images.image_id AS image_id, lower(trim(images.split)) AS split, source, phash,
+    nullif(regexp_extract(lower(trim(sha256)), '^(?:sha256:)?([0-9a-f]{64})$', 1), '') AS sha,
+    row_number() OVER (PARTITION BY images.image_id ORDER BY scanned_at DESC) AS k
+  FROM same_release_split_leakage_audit WHERE images.image_id IS NOT NULL),
+img AS (SELECT * FROM ranked WHERE k = 1 AND split IS NOT NULL),
+pairs AS (
+  SELECT a.image_id AS train_id, b.image_id AS image_id, b.split, trim(b.source) AS source, coalesce(a.sha = b.sha, false) AS same_content
+  FROM img a JOIN img b ON a.split = 'train2017' AND b.split IN ('val2017', 'test2017')
+    AND (a.sha = b.sha OR bit_count(xor(a.phash, b.phash)) <= 5))
+"""
+
+_P8 = r"""
+WITH docs AS (
+  SELECT lower(trim(source)) AS source,
+    len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS tokens
+  FROM documents),
+per AS (SELECT source, sum(tokens) AS tokens FROM docs GROUP BY 1),
+total AS (SELECT sum(tokens) AS n FROM docs)
+SELECT m.mix_id, m.source FROM mix_targets m LEFT JOIN per p ON p.source = lower(trim(m.source))
+WHERE m.max_repeats * coalesce(p.tokens, 0) * 1000000 < (SELECT n FROM total) * m.budget_permille * m.target_permille
+"""
+
+ORACLES: dict[str, str] = {
+    "p2_found": _P2 + "SELECT plan_id, attr_id FROM report WHERE available < want",
+    "p4_found": _P4 + "SELECT DISTINCT least(train_id, image_id) AS left_image_id, greatest(train_id, image_id) AS right_image_id FROM pairs",
+    "p4_report": _P4
+    + """SELECT split, source, count(DISTINCT image_id) AS images, count(*) AS pairs, count(*) FILTER (same_content) AS same_content_pairs
+         FROM pairs GROUP BY split, source""",
+    "p8_found": _P8,
+}
