@@ -1 +1,41 @@
 """Named queries over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import nested
+from ..session import table
+from ..sources import label_export
+from .registry import query
+
+
+def _export(spark: SparkSession, d: str) -> DataFrame:
+    return label_export.read_label_export(table(spark, d, "yolo_label_export"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return label_export.rejected(_export(spark, d)).select("raw_id", "reason")
+
+
+@query("p5_loaded")
+def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return label_export.loaded(_export(spark, d))
+
+
+@query("p5_rejected")
+def p5_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return label_export.rejected(_export(spark, d))
+
+
+def _nested(which: str) -> None:
+    name = "p6_found" if which == "places" else f"p6_{which}"
+
+    @query(name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return nested.both_sources(table(spark, d, "processed_records"), table(spark, d, "record_payloads"), which)
+
+
+for _which in ("places", "records", "instances", "polygons", "points"):
+    _nested(_which)
