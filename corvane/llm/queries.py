@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, mixing, overlaps, sampling, splits
+from . import groups, leaks, mixing, overlaps, sampling, sentences, splits
 
 
 def _splits(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +69,23 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_report(_overlaps(spark, d))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each contaminated document with the items that leaked into it."""
+    return _leaks(spark, d).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"), F.max("run").alias("longest_run"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(_leaks(spark, d), table(spark, d, "eval_passages"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -85,5 +102,9 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
