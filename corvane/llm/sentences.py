@@ -26,7 +26,7 @@ REACH = 200
 # Titles, connectives and the like: a sentence does not end here.
 NEVER = set(
     "mr mrs ms dr prof rev hon gov capt sgt insp lt col gen st dept messrs e.g i.e cf vs viz ca approx incl "
-    "hr fr vgl bes bzw z evtl ggf sog lt inkl zzgl ing lic sra srta dra sres mme mlle m me pr mgr env c.-à-d éd ej ex ee "
+    "dipl hr fr vgl bes bzw z evtl ggf sog lt inkl zzgl ing lic sra srta dra sres mme mlle m me pr mgr env c.-à-d éd ej ex ee "
     "акад проф инж см напр ул г-жа тов гр т е डॉ श्री د أ م".split()
 )
 # Followed by a number or by small letters they do not end a sentence.
@@ -142,6 +142,8 @@ class Sentences:
 
     def _opens(self, word: str) -> bool:
         w = _INVISIBLE.sub("", word)
+        if w.endswith(".") and w[0].isupper() and (len(w) == 2 or w[:-1].lower() in NEVER):
+            return True  # an initial or a title begins a name
         return w in self.openers or w.rstrip(".") in self.openers
 
     def _dot(self, s: str, begin: int, i: int, after: int) -> float:
@@ -169,7 +171,12 @@ class Sentences:
             return -9.0 if number else 3.0
         if word in NEVER and not (word in ("m", "me", "z", "е", "т", "ex", "st") and len(tokens) > 1 and two in ("folder",)):
             return -9.0
-        if len(word) == 1 and word.isalpha() and word not in "pp":
+        if word == "sr":  # a title before a name, or the end of one
+            named = len(tokens) > 1 and tokens[-2][:1].isupper() and tokens[-2][-1].isalnum()
+            return 2.0 if named and not small and not number else -9.0
+        if "-" in word and word.rpartition("-")[2] in NEVER:
+            return -9.0
+        if len(word) == 1 and word.isalpha() and (word != "p" or token[-1].isupper()):
             if two.endswith(".") and len(two) == 2:
                 return -9.0 if small or not self._opens(follow) else -2.0
             if token[-1].isupper() or unicodedata.normalize("NFKC", token)[-1].isupper():
@@ -182,7 +189,8 @@ class Sentences:
             if word in NAMES and nxt.isalpha():
                 lead = [_plain(t) for t in tokens[:-1]]
                 if word.startswith("u.") or word in ("e.u", "uu"):
-                    noun = lead[-1:] == ["the"] and (len(lead) < 2 or lead[-2].endswith((",", ";", ":")))
+                    # "The U.S." right after a stop or a comma is a subject whose noun is still to come.
+                    noun = lead[-1:] == ["the"] and (len(lead) < 2 or not lead[-2][-1].isalnum())
                     return -3.0 if noun or len(lead) < 2 else 2.0 if self._opens(follow) else -2.0
                 return -3.0 if len(lead) < 3 else 2.0 if self._opens(follow) else -2.0
             return 2.0
@@ -269,13 +277,13 @@ class Sentences:
                     out.append((m.start(), 2.0, -1))
         return sorted(out)
 
-    def _span(self, s: str, start: int, end: tuple[int, float, int], last: bool) -> float:
+    def _span(self, s: str, start: int, end: tuple[int, float, int], last: bool, begin: int) -> float:
         """Score of the sentence from ``start`` to ``end``: its close, its length and a quotation that opens it."""
         at, score, quote = end
         length = at - start
         total = score - 0.002 * max(0, length - 300) - (1.5 if length < 2 else 0.0)
         if quote >= 0 and not last:
-            lead = s[start:quote].strip()
+            lead = s[max(start, begin) : quote].strip()
             if not lead and s[quote] not in _BRACKETS:
                 after = at
                 while after < len(s) and s[after].isspace():
@@ -310,7 +318,7 @@ class Sentences:
                         start += 1
                     if end[0] <= start:
                         continue
-                    value = best[i] + self._span(s, start, end, j == len(ends))
+                    value = best[i] + self._span(s, start, end, j == len(ends), begin)
                     if value > best[j]:
                         best[j], back[j] = value, i
             j, cuts = len(ends), []
