@@ -59,11 +59,11 @@ def target_plan(instances: DataFrame, targets: DataFrame) -> DataFrame:
     has available 0. Repeated target rows of a plan and category count once.
     """
     counts = instances.groupBy("attr_id").agg(F.count(F.lit(1)).alias("available"))
-    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
+    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0))).first()[0]  # one number
     wanted = targets.filter("plan_id is not null and attr_id is not null").withColumn("attr_id", F.lower(F.trim("attr_id")))
     wanted = wanted.groupBy("plan_id", "attr_id").agg(*(F.coalesce(F.max(c), F.lit(0)).cast("decimal(20,0)").alias(c) for c in ("sample_permille", "target_permille", "min_count")))
-    # counts has one row a category of the targets, total one row
-    plan = wanted.join(F.broadcast(counts.join(F.broadcast(wanted.select("attr_id").distinct()), "attr_id", "left_semi")), "attr_id", "left").crossJoin(F.broadcast(total))
+    # as joined, counts has at most one row for each category of the targets
+    plan = wanted.join(F.broadcast(counts.join(F.broadcast(wanted.select("attr_id").distinct()), "attr_id", "left_semi")), "attr_id", "left").withColumn("total", F.lit(total))
     share = _ceil_share(F.col("total").cast("decimal(18,0)"), F.col("sample_permille").cast("decimal(5,0)"), F.col("target_permille").cast("decimal(5,0)"))
     plan = plan.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("want", F.greatest(share, F.col("min_count").cast("bigint")))
     return plan.select("plan_id", "attr_id", "available", "want", F.least("want", "available").alias("take"), F.col("min_count").cast("bigint").alias("min_count"), share.alias("share_count"))
