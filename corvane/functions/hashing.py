@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -92,7 +93,7 @@ def rle_spans(runs: Column, width: Column) -> Column:
     return F.filter(ends, lambda s: (s["i"] % 2 == 1) & (s["length"] > 0))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def rle_encode(mask: pd.Series) -> pd.Series:
     """Row-major run lengths of a flat array of zeros and ones, zeros first; an empty mask is [0]."""
 
@@ -108,7 +109,7 @@ def rle_encode(mask: pd.Series) -> pd.Series:
     return mask.map(one)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def rle_decode(runs: pd.Series) -> pd.Series:
     """The flat mask of run lengths; null where a length is negative."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -12,7 +12,10 @@ from . import views as V
 from .registry import query
 
 C = F.col
-_SIZES = (C("width"), C("height"), C("decoded_width"), C("decoded_height"))
+
+def _sizes() -> list[Column]:
+    return [C(c) for c in ("width", "height", "decoded_width", "decoded_height")]
+
 
 
 @query("fn1_geometry_status", f"""WITH {V.IMAGES_SQL}
@@ -20,14 +23,14 @@ SELECT image_id, CASE WHEN abs(ln((decoded_width / decoded_height) / (width / he
   WHEN abs(ln((decoded_width / decoded_height) * (width / height))) <= ln(1 + 0.01::DOUBLE) THEN 'rotation_candidate'
   ELSE 'geometry_mismatch' END AS status FROM images""")
 def fn1(s: SparkSession, d: str) -> DataFrame:
-    return V.images(s, d).select("image_id", G.geometry_status(*_SIZES).alias("status"))
+    return V.images(s, d).select("image_id", G.geometry_status(*_sizes()).alias("status"))
 
 
 @query("fn2_release_geometry", f"""WITH {V.IMAGES_SQL}
 SELECT image_id, CASE WHEN width = decoded_width AND height = decoded_height THEN 'exact' WHEN width = decoded_height AND height = decoded_width THEN 'rotated'
   WHEN abs(width / height - decoded_width / decoded_height) <= 0.01 THEN 'aligned_resize' ELSE 'mismatch' END AS status FROM images""")
 def fn2(s: SparkSession, d: str) -> DataFrame:
-    return V.images(s, d).select("image_id", G.release_geometry(*_SIZES).alias("status"))
+    return V.images(s, d).select("image_id", G.release_geometry(*_sizes()).alias("status"))
 
 
 @query("fn3_scaled_polygon", f"""WITH {V.INSTANCES_SQL}
