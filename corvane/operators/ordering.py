@@ -29,3 +29,27 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows (all if there are fewer), the least by sha256 of seed and key: a repeatable draw without replacement."""
     rank = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
     return df.withColumn("_rank", rank).orderBy("_rank", key).limit(n).drop("_rank")
+
+
+def running_totals(df: DataFrame, group: str, order: list[Column], totals: dict[str, str]) -> DataFrame:
+    """``df`` with running sums within ``group`` under ``order``: ``totals`` maps new columns to summed ones.
+
+    Groups of any size are cut at range boundaries: sums run within a partition
+    and are shifted by what earlier partitions hold of the group. Partitions
+    times the groups they share, a bounded table, pass through a small join.
+    """
+    ranged = df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    per = ranged.groupBy(group, "_part").agg(*(F.sum(c).alias(n) for n, c in totals.items()))
+    before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = per.select(group, "_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in totals))
+    w = W.partitionBy(group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    run = ranged.select("*", *(F.sum(c).over(w).alias(f"_r_{n}") for n, c in totals.items())).join(base, [group, "_part"])
+    return run.select(*df.columns, *((F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals))
+
+
+def sequential(df: DataFrame, order: list[Column], step: object, schema: str) -> DataFrame:
+    """Rows passed in ``order`` through ``step`` (iterator of batches to iterator of batches) in one task, as a stream.
+
+    For folds that are sequential by definition; memory does not grow with the rows.
+    """
+    return df.orderBy(*order).coalesce(1).mapInPandas(step, schema)

@@ -120,10 +120,10 @@ def fn15(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("fn17_hash_parts", f"""WITH {V.HASHES_SQL}
-SELECT doc_id, h & 2047 AS p0, (h >> 11) & 2047 AS p1, (h >> 22) & 2047 AS p2, (h >> 33) & 2047 AS p3, (h >> 44) & 1023 AS p4, (h >> 54) & 63 AS p5 FROM hashes""")
+SELECT item_id, h & 2047 AS p0, (h >> 11) & 2047 AS p1, (h >> 22) & 2047 AS p2, (h >> 33) & 2047 AS p3, (h >> 44) & 1023 AS p4, (h >> 54) & 63 AS p5 FROM hashes""")
 def fn17(s: SparkSession, d: str) -> DataFrame:
     parts = H.hash_parts(C("h"), (11, 11, 11, 11, 10, 6))
-    return V.hashes(s, d).select("doc_id", *(p.alias(f"p{i}") for i, p in enumerate(parts)))
+    return V.hashes(s, d).select("item_id", *(p.alias(f"p{i}") for i, p in enumerate(parts)))
 
 
 @query("fn18_hamming", """WITH a AS (SELECT DISTINCT record_id, phash FROM audit_yolo_detection_dataset)

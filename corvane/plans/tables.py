@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import providers
 from ..operators import nested
-from ..session import table
-from ..sources import label_export
+from ..session import checkpoint_dir, table
+from ..sources import files, label_export
+from ..streaming import events
+from . import views as V
 from .registry import query
 
 
@@ -39,3 +43,76 @@ def _nested(which: str) -> None:
 
 for _which in ("places", "records", "instances", "polygons", "points"):
     _nested(_which)
+
+
+@query("sc3_map_entries", "SELECT event_id, k AS key, (props ->> k)::DOUBLE AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def sc3(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string, double>")).alias("key", "value"))
+
+
+@query("sc6_parquet_scan", "SELECT p_partkey, p_brand FROM part WHERE p_size > 40")
+def sc6(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").filter("p_size > 40").select("p_partkey", "p_brand")
+
+
+@query("sc8_yolo_labels", """WITH l AS (SELECT record_id, width, height, unnest(boxes) AS b FROM (SELECT DISTINCT record_id, width, height, boxes FROM audit_yolo_detection_dataset WHERE width IS NOT NULL))
+SELECT record_id, count(*) FILTER (ok) AS boxes, count(*) FILTER (NOT ok) AS errors FROM (SELECT record_id, b.center_x - b.width * 1.1::DOUBLE / 2 >= 0 AND b.center_x + b.width * 1.1::DOUBLE / 2 <= 1 AND b.width * 1.1::DOUBLE <= 1
+  AND b.center_y - b.height / 2 >= 0 AND b.center_y + b.height / 2 <= 1 AND b.width * 1.1::DOUBLE * width > 1 AND b.height * height > 1 AS ok FROM l) GROUP BY 1""")
+def sc8(spark: SparkSession, d: str) -> DataFrame:
+    line = lambda b: F.concat_ws(" ", b["class_id"].cast("string"), b["center_x"].cast("string"), b["center_y"].cast("string"), (b["width"] * 1.1).cast("string"), b["height"].cast("string"))
+    a = table(spark, d, "audit_yolo_detection_dataset").filter("width is not null and size(boxes) > 0").dropDuplicates(["record_id"])
+    parsed = files.parse_yolo_labels(a.select("record_id", "width", "height", F.array_join(F.transform("boxes", line), "\n").alias("text")))
+    return parsed.select("record_id", F.size("boxes").cast("bigint").alias("boxes"), F.size("errors").cast("bigint").alias("errors"))
+
+
+@query("sc10_ccpd_names", """WITH p AS (SELECT p_partkey, p_partkey % 300 AS x, p_size * 7 AS y FROM part) SELECT p_partkey, least(x, 280)::DOUBLE AS x, y::DOUBLE AS y, (least(x + 60, 280) - least(x, 280))::DOUBLE AS w, 30::DOUBLE AS h FROM p WHERE least(x + 60, 280) - least(x, 280) > 1""")
+def sc10(spark: SparkSession, d: str) -> DataFrame:
+    x, y = F.col("p_partkey") % 300, F.col("p_size") * 7
+    at = lambda a, b: F.concat_ws("&", a.cast("string"), b.cast("string"))
+    name = F.concat(F.lit("025-90_0-1_2-"), F.concat_ws("_", at(x + 60, y + 30), at(x, y + 30), at(x, y), at(x + 60, y)), F.lit("-0_0.jpg"))
+    box = files.parse_ccpd_name(name, F.lit(280), F.lit(2000))
+    return table(spark, d, "part").select("p_partkey", box.alias("b")).filter("b is not null").select("p_partkey", "b.x", "b.y", "b.w", "b.h")
+
+
+@query("sc11_nested_lines", """WITH i AS (SELECT row_id, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS a FROM processed_records), p AS (SELECT row_id, a, unnest(i.polygons) AS p, generate_subscripts(i.polygons, 1) - 1 AS b FROM i WHERE coalesce(i.iscrowd, false) = false)
+SELECT row_id, a::INT AS a, b::INT AS b, len(p)::INT // 2 AS points FROM p WHERE len(p) >= 6""")
+def sc11(spark: SparkSession, d: str) -> DataFrame:
+    i = table(spark, d, "processed_records").select("row_id", F.posexplode("instances").alias("a", "i")).filter("not coalesce(i.iscrowd, false)")
+    p = i.select("row_id", "a", F.posexplode("i.polygons").alias("b", "p")).filter("size(p) >= 6")
+    return p.select("row_id", "a", "b", F.floor(F.size("p") / 2).cast("int").alias("points"))
+
+
+@query("sc12_common_schema", """SELECT 'processed' AS source, image_id, width, height FROM processed_records WHERE width IS NOT NULL UNION ALL SELECT 'scan', images.image_id, width, height FROM same_release_split_leakage_audit WHERE width IS NOT NULL
+UNION ALL SELECT 'audit', record_id::VARCHAR, width, height FROM audit_yolo_detection_dataset WHERE width IS NOT NULL""")
+def sc12(spark: SparkSession, d: str) -> DataFrame:
+    def one(name: str, source: str, key: str) -> DataFrame:
+        return table(spark, d, name).filter("width is not null").select(F.lit(source).alias("source"), F.col(key).cast("string").alias("image_id"), "width", "height")
+
+    frames = [one("processed_records", "processed", "image_id"), one("same_release_split_leakage_audit", "scan", "images.image_id"), one("audit_yolo_detection_dataset", "audit", "record_id")]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query("ud3_tiled_provider")
+def ud3(spark: SparkSession, d: str) -> DataFrame:
+    return providers.run_tiled(V.images(spark, d), providers.StubProvider(), tile_size=768, overlap=0.25, max_tiles=24)
+
+
+@query("ud4_orchestrated_providers", f"WITH {V.IMAGES_SQL} SELECT image_id, p.provider, width / 4::DOUBLE AS x0, 3 * height / 4::DOUBLE AS y1 FROM images, (VALUES ('a'), ('b')) p(provider)")
+def ud4(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = providers.orchestrate(V.images(spark, d), [providers.StubProvider("a"), providers.StubProvider("b")])
+    return found.select("image_id", "provider", "x0", "y1")
+
+
+@query("ss1_fixed_lifetime", "SELECT event_id, ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20 00:00:00' AS expired, ts + INTERVAL 7 DAY < TIMESTAMP '2024-01-20 00:00:00' AS due FROM events")
+def ss1(spark: SparkSession, d: str) -> DataFrame:
+    at = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return table(spark, d, "events").select("event_id", events.access_expired(F.col("ts"), 7 * 86400, at).alias("expired"), events.cleanup_due(F.col("ts"), 7 * 86400, at).alias("due"))
+
+
+@query("ss3_stream_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def ss3(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    name = "corvane_" + uuid.uuid4().hex
+    counts = events.windowed_counts(events.stream_table(spark, d, "events"))
+    return events.run_to_table(counts, name, f"{checkpoint_dir(spark)}/{name}").select("event_type", F.col("window.start").cast("string").alias("start"), "n")

@@ -58,12 +58,12 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
+    i = F.col("c_custkey")
     base = F.conv(F.substring(F.md5(F.floor(i / 4).cast("string")), 1, 15), 16, 10).cast("bigint")
-    flip = lambda bits, m: F.expr(f"shiftleft(CAST({bits} AS BIGINT), CAST(doc_id % {m} AS INT))")
+    flip = lambda bits, m: F.expr(f"shiftleft(CAST({bits} AS BIGINT), CAST(c_custkey % {m} AS INT))")
     mask = F.when(i % 4 == 1, flip(1, 59)).when(i % 4 == 2, flip(7, 57)).when(i % 4 == 3, flip(2047, 49)).otherwise(F.lit(0).cast("bigint"))
     split = F.element_at(F.array(F.lit("train2017"), F.lit("val2017"), F.lit("test2017")), (i % 3 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", base.bitwiseXOR(mask).alias("h"), split.alias("split"))
+    return table(spark, d, "customer").select(i.alias("item_id"), base.bitwiseXOR(mask).alias("h"), split.alias("split"))
 
 
 IMAGES_SQL = """
@@ -102,8 +102,8 @@ evidence AS (
 
 HASHES_SQL = """
 hashes AS (
-  SELECT doc_id, (['train2017', 'val2017', 'test2017'])[CAST(doc_id % 3 + 1 AS INT)] AS split,
-    xor(CAST('0x' || substr(md5(CAST(doc_id // 4 AS VARCHAR)), 1, 15) AS BIGINT),
-      CASE doc_id % 4 WHEN 1 THEN 1::BIGINT << (doc_id % 59)::INT WHEN 2 THEN 7::BIGINT << (doc_id % 57)::INT
-        WHEN 3 THEN 2047::BIGINT << (doc_id % 49)::INT ELSE 0 END) AS h
-  FROM documents)"""
+  SELECT c_custkey AS item_id, (['train2017', 'val2017', 'test2017'])[CAST(c_custkey % 3 + 1 AS INT)] AS split,
+    xor(CAST('0x' || substr(md5(CAST(c_custkey // 4 AS VARCHAR)), 1, 15) AS BIGINT),
+      CASE c_custkey % 4 WHEN 1 THEN 1::BIGINT << (c_custkey % 59)::INT WHEN 2 THEN 7::BIGINT << (c_custkey % 57)::INT
+        WHEN 3 THEN 2047::BIGINT << (c_custkey % 49)::INT ELSE 0 END) AS h
+  FROM customer)"""
