@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` range partitioned by ``order`` with the partition's number in ``_part``.
+
+    Written once: the range bounds come from a sample and could differ if it were computed again.
+    """
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with its place from 1 under ``order``, which must be total.
@@ -14,7 +23,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     counts of the partitions before; those counts, one a partition, are all that
     leaves the executors.
     """
-    sorted_ = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    sorted_ = ranged(df, *order)
     counts = sorted(sorted_.groupBy("_part").count().collect())
     base, before = [], 0
     for p, n in counts:
@@ -38,12 +47,12 @@ def running_totals(df: DataFrame, group: str, order: list[Column], totals: dict[
     and are shifted by what earlier partitions hold of the group. Partitions
     times the groups they share, a bounded table, pass through a small join.
     """
-    ranged = df.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
-    per = ranged.groupBy(group, "_part").agg(*(F.sum(c).alias(n) for n, c in totals.items()))
+    parts = ranged(df, F.col(group), *order)
+    per = parts.groupBy(group, "_part").agg(*(F.sum(c).alias(n) for n, c in totals.items()))
     before = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     base = per.select(group, "_part", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in totals))
     w = W.partitionBy(group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    run = ranged.select("*", *(F.sum(c).over(w).alias(f"_r_{n}") for n, c in totals.items())).join(base, [group, "_part"])
+    run = parts.select("*", *(F.sum(c).over(w).alias(f"_r_{n}") for n, c in totals.items())).join(base, [group, "_part"])
     return run.select(*df.columns, *((F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in totals))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.ordering import global_rank, ranged
 from ..session import table
 from . import records as P
 from . import views as V
@@ -104,13 +105,13 @@ def upper_median(values: DataFrame, c: str) -> float | None:
     total = v.agg(F.sum("n")).first()[0]
     if not total:
         return None
-    ordered = v.repartitionByRange(c).sortWithinPartitions(c).withColumn("_p", F.spark_partition_id())
-    sums = {r["_p"]: r["n"] for r in ordered.groupBy("_p").agg(F.sum("n").alias("n")).collect()}  # one row a partition
+    ordered = ranged(v, C(c))
+    sums = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
     seen, want = 0, total // 2
     for p in sorted(sums):
         if seen + sums[p] > want:
-            run = F.sum("n").over(W.partitionBy("_p").orderBy(c))
-            row = ordered.filter(C("_p") == p).withColumn("run", run + seen).filter(C("run") > want).orderBy(c).first()
+            run = F.sum("n").over(W.partitionBy("_part").orderBy(c))
+            row = ordered.filter(C("_part") == p).withColumn("run", run + seen).filter(C("run") > want).orderBy(c).first()
             return row[c]
         seen += sums[p]
     return None
@@ -159,18 +160,18 @@ def ag8(s: SparkSession, d: str) -> DataFrame:
 def ks_statistic(m: DataFrame) -> float | None:
     """Largest distance of the two distribution functions of v in train2017 and val2017, by running counts within value ranges."""
     counts = m.groupBy("v").agg(F.count_if(C("split") == "train2017").alias("a"), F.count_if(C("split") == "val2017").alias("b"))
-    ordered = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
-    parts = sorted(ordered.groupBy("_p").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect())  # one row a partition
+    ordered = ranged(counts, C("v"))
+    parts = sorted(ordered.groupBy("_part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect())  # one row a partition
     na, nb = sum(p["a"] for p in parts), sum(p["b"] for p in parts)
     if not na or not nb:
         return None
     base, before = [], [0, 0]
     for p in parts:
-        base.append((p["_p"], *before))
+        base.append((p["_part"], *before))
         before = [before[0] + p["a"], before[1] + p["b"]]
-    at = ordered.sparkSession.createDataFrame(base, "_p int, ba long, bb long")
-    w = W.partitionBy("_p").orderBy("v")
-    run = ordered.join(F.broadcast(at), "_p").select(((F.sum("a").over(w) + C("ba")) / na - (F.sum("b").over(w) + C("bb")) / nb).alias("d"))
+    at = ordered.sparkSession.createDataFrame(base, "_part int, ba long, bb long")
+    w = W.partitionBy("_part").orderBy("v")
+    run = ordered.join(F.broadcast(at), "_part").select(((F.sum("a").over(w) + C("ba")) / na - (F.sum("b").over(w) + C("bb")) / nb).alias("d"))
     return run.agg(F.max(F.abs("d"))).first()[0]
 
 
@@ -197,8 +198,6 @@ def ag18(s: SparkSession, d: str) -> DataFrame:
 
 def bootstrap_interval(values: DataFrame, key: str, x: str, draws: int, seed: int) -> DataFrame:
     """95 % interval of the mean from ``draws`` resamples with replacement; which rows are drawn follows from a digest of seed, draw and place."""
-    from ..operators.ordering import global_rank
-
     ranked = global_rank(values, [C(key)], "k").withColumn("k", C("k") - 1)
     n = ranked.count()
     spark = values.sparkSession
