@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    return F.bit_count(a.cast("bigint").bitwiseXOR(b.cast("bigint")))
 
 
 def hash_parts(h: Column, widths: tuple[int, ...]) -> list[Column]:
     """Disjoint parts of a hash from the lowest bit up, of the given widths."""
-    return [F.shiftrightunsigned(h, sum(widths[:i])).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) for i, w in enumerate(widths)]
+    return [F.shiftrightunsigned(h.cast("bigint"), sum(widths[:i])).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) for i, w in enumerate(widths)]
 
 
 def _median(a: Column, n: int) -> Column:
@@ -41,7 +41,7 @@ def bits_msb_first(values: Column, n: int = 64) -> Column:
 
 
 def hex_hash(h: Column) -> Column:
-    return F.lpad(F.lower(F.hex(h)), 16, "0")
+    return F.lpad(F.lower(F.hex(h.cast("bigint"))), 16, "0")
 
 
 def hash_rank(seed: int, *key: Column) -> Column:
