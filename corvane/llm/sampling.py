@@ -22,7 +22,7 @@ RUNS = 1024
 def latest_images(records: DataFrame) -> DataFrame:
     """(image_id, row_id, attrs, classes): one row for each non-null image_id, the one with the greatest updated_at.
 
-    A null updated_at comes last. Only the two fields of the instances that name
+    A null updated_at comes last; of ties, which are alike, the greatest row_id is taken. Only the two fields of the instances that name
     a category are read.
     """
     slim = records.filter("image_id is not null").select(
