@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -120,3 +121,48 @@ def rle_decode(runs: pd.Series) -> pd.Series:
         return None if (lengths < 0).any() else np.repeat(np.arange(len(lengths)) % 2, lengths).tolist()
 
     return runs.map(one)
+
+
+def difference_hash(values: Column, rows: int = 8, columns: int = 9) -> Column:
+    """Bits, first one highest, that tell whether a value exceeds its left neighbour in a ``rows`` x ``columns`` grid."""
+    n, bits = rows * (columns - 1), []
+    for k in range(n):
+        at = k // (columns - 1) * columns + k % (columns - 1)
+        place = n - 1 - k
+        one = F.lit(1 << place if place < 63 else -(1 << 63)).cast("bigint")
+        bits.append(F.when(F.get(values, F.lit(at + 1)) > F.get(values, F.lit(at)), one).otherwise(F.lit(0).cast("bigint")))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+@F.pandas_udf(T.DoubleType())
+def mask_iou(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Intersection over union of two masks given as run lengths, without making the pixels; 0.0 for two empty masks, null if the sizes differ."""
+
+    def one(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
+        if a is None or b is None or sum(a) != sum(b):
+            return None
+        ea, eb = np.cumsum(a), np.cumsum(b)
+        cuts = np.unique(np.concatenate([[0], ea, eb]))
+        mid, size = cuts[:-1], np.diff(cuts)
+        ma, mb = np.searchsorted(ea, mid, "right") % 2 == 1, np.searchsorted(eb, mid, "right") % 2 == 1
+        union = size[ma | mb].sum()
+        return float(size[ma & mb].sum() / union) if union else 0.0
+
+    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def pixel_digest(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.Series:
+    """sha256 of width and height as eight little-endian bytes each, then the bytes."""
+    head = lambda n: int(n).to_bytes(8, "little")
+    return pd.Series([None if p is None else hashlib.sha256(head(w) + head(h) + bytes(p)).hexdigest() for w, h, p in zip(width, height, pixels)], dtype=object)
+
+
+def brightness_contrast(values: Column) -> Column:
+    """struct<brightness, contrast, dark, bright> of grey values in 0-255: mean, deviation, shares below 32 and above 223; nulls of an empty array."""
+    n = F.nullif(F.size(values), F.lit(0))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    mean = total(values) / n
+    var = total(F.transform(values, lambda v: (v - mean) * (v - mean))) / n
+    share = lambda f: F.size(F.filter(values, f)) / n
+    return F.struct(mean.alias("brightness"), F.sqrt(var).alias("contrast"), share(lambda v: v < 32).alias("dark"), share(lambda v: v > 223).alias("bright"))

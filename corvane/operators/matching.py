@@ -142,14 +142,18 @@ def coco_matches(truths: DataFrame, detections: DataFrame, image: str = "image_i
             for r in pdf.itertuples(index=False):
                 t, d = _arrays(r.t, 4), _arrays(r.d, 5)[:most]
                 full, ta, da = iou_matrix(d[:, 1:], t), t[:, 2] * t[:, 3], d[:, 3] * d[:, 4]
+                top = full.max(axis=1) if full.size else np.zeros(len(d))
                 for area, (low, high) in AREAS.items():
                     ignored = (ta < low) | (ta > high)
                     order = np.argsort(ignored, kind="stable")
                     m, ig = full[:, order], ignored[order]
                     hit, skip = np.zeros(len(d), int), np.zeros(len(d), int)
+                    beyond = (da < low) | (da > high)
                     for b, th in enumerate(IOUS):
+                        near = np.flatnonzero(top >= min(th, 1 - 1e-10))
+                        skip |= (beyond & (top < min(th, 1 - 1e-10))).astype(int) << b
                         taken = np.zeros(len(t), bool)
-                        for k in range(len(d)):
+                        for k in near.tolist():
                             best, j = min(th, 1 - 1e-10), -1
                             for g in range(len(t)):
                                 if taken[g]:
@@ -162,7 +166,7 @@ def coco_matches(truths: DataFrame, detections: DataFrame, image: str = "image_i
                                 taken[j] = True
                                 hit[k] |= (not ig[j]) << b
                                 skip[k] |= int(ig[j]) << b
-                            elif da[k] < low or da[k] > high:
+                            elif beyond[k]:
                                 skip[k] |= 1 << b
                     out += [(getattr(r, name), area, d[k, 0], f"{getattr(r, image)}", k, int(hit[k]), int(skip[k])) for k in range(len(d))]
             yield pd.DataFrame(out, columns=["class_id", "area", "score", "image", "place", "hits", "ignored"])

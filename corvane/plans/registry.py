@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import detection, profile, records, relational, scalars, tables  # noqa: F401
+    from . import detection, profile, records, relational, roundtrips, scalars, tables  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -246,3 +246,20 @@ def sm7(s: SparkSession, d: str) -> DataFrame:
     crop = (F.lit(0), F.lit(0), F.floor(C("width") / 2), F.floor(C("height") / 2))
     seen = G.overlap_area(G.corners(C("x0"), C("y0"), C("w"), C("h")), crop)
     return V.instances(s, d).filter(seen >= 0.3 * C("w") * C("h")).select("image_id", "instance_id")
+
+
+@query("pf21_unknown_names", "SELECT DISTINCT attr_id FROM sample_targets WHERE attr_id NOT IN (SELECT attr_id FROM class_map WHERE family = 'visual')")
+def pf21(s: SparkSession, d: str) -> DataFrame:
+    known = table(s, d, "class_map").filter("family = 'visual'").select("attr_id")
+    return table(s, d, "sample_targets").select("attr_id").distinct().join(known, "attr_id", "left_anti")
+
+
+@query("wn11_ecdf", "SELECT DISTINCT l_quantity AS v, round(cume_dist() OVER (ORDER BY l_quantity), 9) AS share FROM lineitem")
+def wn11(s: SparkSession, d: str) -> DataFrame:
+    """From counts of distinct values, so that the running sum goes over few rows and never over all."""
+    from ..operators.ordering import running_totals
+
+    counts = table(s, d, "lineitem").groupBy(C("l_quantity").alias("v")).agg(N().alias("n")).withColumn("one", F.lit(1))
+    run = running_totals(counts, "one", [C("v")], {"upto": "n"})
+    total = counts.agg(F.sum("n")).first()[0]
+    return run.select("v", F.round(C("upto") / F.lit(total), 9).alias("share"))

@@ -202,3 +202,28 @@ def fn28(s: SparkSession, d: str) -> DataFrame:
 def fn31(s: SparkSession, d: str) -> DataFrame:
     p = G.rectangle_polygon(C("x0"), C("y0"), C("w"), C("h"))
     return V.instances(s, d).select("image_id", "instance_id", F.aggregate(p, F.lit(0), lambda a, b: a + b).alias("coordinate_sum"))
+
+
+@query("fn11_mask_iou", f"""WITH {V.INSTANCES_SQL}, m AS (SELECT image_id, instance_id, w, h, least(w, h) AS i FROM instances WHERE instance_id <= 2)
+SELECT image_id, instance_id, round(least(w, h) / greatest(w, h)::DOUBLE, 9) AS iou FROM m""")
+def fn11(s: SparkSession, d: str) -> DataFrame:
+    mask = lambda n: F.array(F.lit(5), n, F.lit(1000) - n)
+    return V.instances(s, d).filter("instance_id <= 2").select("image_id", "instance_id", F.round(H.mask_iou(mask(C("w")), mask(C("h"))), 9).alias("iou"))
+
+
+@query("fn16_difference_hash", """SELECT vec_id, list_sum(list_transform(range(0, 56), lambda k: CASE WHEN embedding[(k // 7) * 8 + k % 7 + 2] > embedding[(k // 7) * 8 + k % 7 + 1] THEN 1::BIGINT << (55 - k)::INT ELSE 0 END))::BIGINT AS h FROM embeddings""")
+def fn16(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", H.difference_hash(C("embedding"), 8, 8).alias("h"))
+
+
+@query("fn24_pixel_digest", """SELECT p_partkey, sha256(unhex('0300000000000000' || '0100000000000000')::BLOB || unhex(hex(substr(p_name, 1, 3)))::BLOB) AS digest FROM part""")
+def fn24(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", H.pixel_digest(F.lit(3), F.lit(1), F.encode(F.substring("p_name", 1, 3), "utf-8")).alias("digest"))
+
+
+@query("fn33_image_quality", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(abs(e::DOUBLE) * 1000) % 256) AS g FROM embeddings)
+SELECT vec_id, round(list_avg(g), 6) AS brightness, round(list_stddev_pop(g), 6) AS contrast, len(list_filter(g, lambda x: x < 32)) / 64::DOUBLE AS dark FROM v""")
+def fn33(s: SparkSession, d: str) -> DataFrame:
+    grey = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("double"))
+    q = table(s, d, "embeddings").select("vec_id", H.brightness_contrast(grey).alias("q"))
+    return q.select("vec_id", F.round("q.brightness", 6).alias("brightness"), F.round("q.contrast", 6).alias("contrast"), C("q.dark").alias("dark"))

@@ -55,8 +55,8 @@ def _json_items(data: bytes, field: str | None) -> Iterator[object]:
         yield item
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
-    """Elements of the array in each file, plain or gzip, under ``schema``; a file that is malformed is an error."""
+def read_json_arrays_of(contents: DataFrame, schema: str, field: str | None = None) -> DataFrame:
+    """Elements of the array in each ``content``, plain or gzip, under ``schema``; one that is malformed is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -69,10 +69,15 @@ def read_json_array(spark: SparkSession, path: str, schema: str, field: str | No
                         held = []
                 yield pd.DataFrame({"item": held}, dtype=object)
 
-    items = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "item string")
+    items = contents.select("content").mapInPandas(run, "item string")
     return items.select(F.from_json("item", schema).alias("r")).select("r.*")
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """``read_json_arrays_of`` the files at ``path``."""
+    return read_json_arrays_of(spark.read.format("binaryFile").load(path), schema, field)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header under ``schema``: an id of digits stays a string if the schema says so."""
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(path)
