@@ -42,7 +42,35 @@ SELECT m.mix_id, m.source FROM mix_targets m LEFT JOIN per p ON p.source = lower
 WHERE m.max_repeats * coalesce(p.tokens, 0) * 1000000 < (SELECT n FROM total) * m.budget_permille * m.target_permille
 """
 
+_P1 = r"""
+WITH RECURSIVE r AS (
+  SELECT record_id, min(CASE lower(trim(source_split)) WHEN 'valid' THEN 'val' ELSE nullif(lower(trim(source_split)), '') END) AS split, max(CASE WHEN k NOT IN ('', 'unknown', 'none', 'n-a') THEN 'v:' || k END) AS v,
+    max(CASE WHEN dataset_id IS NOT NULL AND group_id IS NOT NULL THEN 'g:' || dataset_id || '|' || group_id END) AS g
+  FROM (SELECT *, trim(regexp_replace(lower(source_video_group), '[^a-z0-9]+', '-', 'g'), '-') AS k FROM audit_yolo_detection_dataset) WHERE record_id IS NOT NULL GROUP BY 1),
+e AS (SELECT DISTINCT v AS a, g AS b FROM r WHERE v IS NOT NULL AND g IS NOT NULL),
+b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(x, y) AS (SELECT a, b FROM b UNION SELECT reach.x, b.b FROM reach JOIN b ON b.a = reach.y),
+root AS (SELECT x, least(x, min(y)) AS root FROM reach GROUP BY x),
+c AS (SELECT record_id, split, coalesce(root, v, g, 'r:' || record_id) AS comp FROM r LEFT JOIN root ON x = coalesce(v, g))
+SELECT record_id FROM c WHERE comp IN (SELECT comp FROM c GROUP BY 1 HAVING count(DISTINCT split) > 1)
+"""
+
+_P3 = """
+WITH RECURSIVE r AS (
+  SELECT record_id, max(phash) AS phash, max(CASE WHEN dataset_id IS NOT NULL AND group_id IS NOT NULL THEN dataset_id || '|' || group_id END) AS hub
+  FROM audit_yolo_detection_dataset WHERE record_id IS NOT NULL GROUP BY 1),
+e AS (
+  SELECT record_id AS u, min(record_id) OVER (PARTITION BY hub) AS v FROM r WHERE hub IS NOT NULL
+  UNION SELECT m.left_record_id, m.right_record_id FROM phash_matches m JOIN r a ON a.record_id = m.left_record_id JOIN r b ON b.record_id = m.right_record_id
+  WHERE m.match_kind = 'sha256' OR (m.match_kind = 'phash' AND coalesce(m.phash_distance, bit_count(xor(a.phash, b.phash))) <= 2)),
+b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+reach(x, y) AS (SELECT u, v FROM b UNION SELECT reach.x, b.v FROM reach JOIN b ON b.u = reach.y)
+SELECT least(x, min(y)) AS group_root, x AS record_id FROM reach GROUP BY x
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": _P1,
+    "p3_found": _P3,
     "p2_found": _P2 + "SELECT plan_id, attr_id FROM report WHERE available < want",
     "p4_found": _P4 + "SELECT DISTINCT least(train_id, image_id) AS left_image_id, greatest(train_id, image_id) AS right_image_id FROM pairs",
     "p4_report": _P4
