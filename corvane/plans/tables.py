@@ -14,11 +14,48 @@ from . import views as V
 from .registry import query
 
 
+_CELL = '"(?:[^"]|"")*"|[^",]*'
+_NUM = "^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_P5_SQL = rf"""
+WITH t AS (SELECT raw_id, regexp_replace(coalesce(raw, ''), '\r$', '') AS s FROM yolo_label_export),
+c AS (SELECT raw_id, regexp_matches(s, '(?s)^({_CELL})(,({_CELL}))*$') AS quoted,
+  list_transform(regexp_extract_all(',' || s, '(?s),({_CELL})', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substring(x, 2, length(x) - 2), '""', '"') ELSE x END) AS c FROM t),
+r AS (SELECT raw_id, c, CASE WHEN NOT quoted THEN 0 WHEN len(c) <> 8 THEN 1 WHEN NOT regexp_matches(c[2], '^[0-9]*[1-9][0-9]*$') OR NOT regexp_matches(c[3], '^[0-9]*[1-9][0-9]*$') THEN 2
+  WHEN NOT regexp_matches(c[7], '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z$') OR TRY_CAST(replace(replace(c[7], 'T', ' '), 'Z', '') AS TIMESTAMP) IS NULL THEN 3 END AS row_fault FROM c),
+b AS (SELECT raw_id, TRY_CAST(c[2] AS DOUBLE) AS pw, TRY_CAST(c[3] AS DOUBLE) AS ph, unnest(list_transform(string_split(c[4], ';'), lambda x: CASE WHEN trim(x, ' \t') = '' THEN [] ELSE string_split_regex(trim(x, ' \t'), '[ \t]+') END)) AS v
+  FROM r WHERE row_fault IS NULL AND NOT regexp_matches(c[4], '^\s*$')),
+n AS (SELECT *, list_transform(v, lambda x: CASE WHEN regexp_matches(x, '{_NUM}') THEN TRY_CAST(x AS DOUBLE) END) AS n, len(list_filter(v, lambda x: NOT regexp_matches(x, '{_NUM}') AND NOT regexp_matches(lower(x), '^[+-]?(nan|inf|infinity)$'))) AS words FROM b),
+f AS (SELECT raw_id, CASE WHEN len(v) <> 5 THEN 4 WHEN words > 0 THEN 5 WHEN len(list_filter(n, lambda x: x IS NOT NULL AND isfinite(x))) < 5 THEN 6
+  WHEN n[1] < 0 OR n[1] <> round(n[1]) THEN 7 WHEN n[2] < 0 OR n[2] > 1 OR n[3] < 0 OR n[3] > 1 OR n[4] <= 0 OR n[4] > 1 OR n[5] <= 0 OR n[5] > 1 THEN 8
+  WHEN n[2] - n[4] / 2 < 0 OR n[2] + n[4] / 2 > 1 OR n[3] - n[5] / 2 < 0 OR n[3] + n[5] / 2 > 1 THEN 9 WHEN n[4] * pw <= 1 OR n[5] * ph <= 1 THEN 10 END AS fault FROM n),
+m AS (SELECT raw_id, min(fault) AS fault FROM f GROUP BY 1)
+SELECT r.raw_id, (['{"', '".join(label_export.REASONS)}'])[1 + coalesce(row_fault, fault)] AS reason FROM r LEFT JOIN m USING (raw_id) WHERE coalesce(row_fault, fault) IS NOT NULL"""
+
+_P6_SQL = """
+WITH a AS (SELECT 'processed_records' AS source_table, row_id, unnest(instances) AS i, generate_subscripts(instances, 1) - 1 AS k FROM processed_records),
+ap AS (SELECT source_table, row_id, k, i.polygons AS ps FROM a WHERE i IS NOT NULL),
+app AS (SELECT source_table, row_id, k, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS j FROM ap),
+d AS (SELECT payload_id AS row_id, payload::JSON AS d FROM record_payloads),
+h AS (SELECT row_id, coalesce(nullif(d -> '$.instances', 'null'), nullif(d -> '$.record.annotations.instances', 'null'), nullif(d -> '$.annotations[0].instances', 'null')) AS n FROM d),
+l AS (SELECT row_id, CASE json_type(n) WHEN 'ARRAY' THEN list_transform(range(0, json_array_length(n)::BIGINT), lambda q: json_extract(n, '$[' || q || ']')) WHEN 'OBJECT' THEN list_transform(json_keys(n), lambda q: json_extract(n, '$."' || q || '"')) END AS l FROM h),
+b AS (SELECT 'record_payloads' AS source_table, row_id, unnest(l) AS i, generate_subscripts(l, 1) - 1 AS k FROM l),
+bp AS (SELECT source_table, row_id, k, json_extract(i, '$.polygons') AS n FROM b WHERE json_type(i) = 'OBJECT'),
+bl AS (SELECT *, CASE WHEN json_type(n) <> 'ARRAY' THEN NULL WHEN json_type(n -> '$[0]') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN [n] ELSE list_transform(range(0, json_array_length(n)::BIGINT), lambda q: json_extract(n, '$[' || q || ']')) END AS ps FROM bp),
+bpp AS (SELECT source_table, row_id, k, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS j FROM bl),
+poly AS (SELECT source_table, row_id, k, j FROM app WHERE len(list_filter(p, lambda v: v IS NOT NULL)) > 0
+  UNION ALL SELECT source_table, row_id, k, j FROM bpp WHERE (json_type(p) = 'ARRAY' AND json_array_length(p) > 0) OR (json_type(p) = 'OBJECT' AND json_array_length(p -> '$.points') > 0)),
+inst AS (SELECT source_table, row_id, k FROM ap UNION ALL SELECT source_table, row_id, k FROM bp),
+rec AS (SELECT 'processed_records' AS source_table, row_id FROM processed_records UNION ALL SELECT 'record_payloads', payload_id FROM record_payloads)
+SELECT source_table, row_id, k::INT AS instance_no, j::INT AS polygon_no FROM poly
+UNION ALL SELECT source_table, row_id, k::INT, -1 FROM inst ANTI JOIN poly USING (source_table, row_id, k)
+UNION ALL SELECT source_table, row_id, -1, -1 FROM rec ANTI JOIN inst USING (source_table, row_id)"""
+
+
 def _export(spark: SparkSession, d: str) -> DataFrame:
     return label_export.read_label_export(table(spark, d, "yolo_label_export"))
 
 
-@query("p5_found")
+@query("p5_found", _P5_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return label_export.rejected(_export(spark, d)).select("raw_id", "reason")
 
@@ -36,7 +73,7 @@ def p5_rejected(spark: SparkSession, d: str) -> DataFrame:
 def _nested(which: str) -> None:
     name = "p6_found" if which == "places" else f"p6_{which}"
 
-    @query(name)
+    @query(name, _P6_SQL if which == "places" else None)
     def run(spark: SparkSession, d: str) -> DataFrame:
         return nested.both_sources(table(spark, d, "processed_records"), table(spark, d, "record_payloads"), which)
 
