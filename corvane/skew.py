@@ -46,15 +46,22 @@ def lookup_join(many: DataFrame, one: DataFrame, key: str, how: str = "left", ro
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 64) -> DataFrame:
     """Inner equi-join of two sides that may both repeat a key.
 
-    Hot keys of ``left`` are spread over ``salts`` tasks, their partners in
-    ``right`` being copied to each; every pair still comes out exactly once.
+    A key hot on one side is spread over ``salts`` tasks, its partners being
+    copied to each; a key hot on both is spread over a square of about as many,
+    so that neither side is copied often. Every pair comes out exactly once.
     """
-    hot = hot_keys(left, key)
-    if not hot:
+    a, b = set(hot_keys(left, key)), set(hot_keys(right, key))
+    if not a | b:
         return left.join(right, key)
-    a = left.filter(_among(key, hot)).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    b = right.filter(_among(key, hot)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        left.filter(~_among(key, hot)).join(right.filter(~_among(key, hot)), key)
-        .unionByName(a.join(b, [key, "_salt"]).drop("_salt"))
-    )
+    side = max(2, round(salts**0.5))
+    out = left.filter(~_among(key, list(a | b))).join(right.filter(~_among(key, list(a | b))), key)
+    for keys, m, n in ((a - b, salts, 1), (b - a, 1, salts), (a & b, side, side)):
+        if not keys:
+            continue
+        some = lambda df, keys=keys: df.filter(_among(key, list(keys)))
+        own = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        x = some(left).withColumn("_row", own(left, m)).withColumn("_col", every(n))
+        y = some(right).withColumn("_col", own(right, n)).withColumn("_row", every(m))
+        out = out.unionByName(x.join(y, [key, "_row", "_col"]).drop("_row", "_col"))
+    return out

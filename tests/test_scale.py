@@ -16,6 +16,10 @@ def test_joins_with_a_hot_key(spark, monkeypatch):
     pairs = spark.range(90).select((F.col("id") % 30).alias("k"), F.col("id").alias("w"))
     assert sorted(map(str, skew.salted_join(many, pairs, "k", 4).collect())) == sorted(map(str, many.join(pairs, "k").collect()))
     assert skew.hot_keys(many, "k") == [0]
+    hot = spark.range(200).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5 + 1).alias("k"), F.col("id").alias("w"))
+    for a, b in ((many, hot), (pairs, hot), (hot, pairs)):
+        b = b.withColumnRenamed("w", "z") if "w" in a.columns else b
+        assert sorted(map(str, skew.salted_join(a, b, "k", 4).collect())) == sorted(map(str, a.join(b, "k").collect()))
 
 
 def test_ranks_and_totals(spark):
