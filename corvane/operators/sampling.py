@@ -66,3 +66,22 @@ def balanced_groups(records: DataFrame, group: str, seed: int, validation: float
 
     ordered = g.select("grp", "n", *ranks)
     return sequential(ordered, [F.desc("n"), hash_rank(seed, F.col("grp"))], step, "grp string, n bigint, split string").select(F.col("grp").alias(group), "n", "split")
+
+
+def weighted_draw(weights: DataFrame, key: str, weight: str, n: int, seed: int) -> DataFrame:
+    """(draw, key): ``n`` draws with replacement in proportion to ``weight``; weights must average 1.
+
+    Running weights give each row an interval; rows and draws meet in unit cells
+    of that line, of which an interval covers about as many as its weight, so the
+    range join is an equi-join without a hot key. Draw j follows from a digest of seed and j.
+    """
+    from .ordering import running_totals
+
+    run = running_totals(weights.select(key, weight).withColumn("_one", F.lit(1)), "_one", [F.col(key)], {"hi": weight})
+    total = run.agg(F.max("hi")).first()[0]
+    if total is None:
+        return weights.select(F.lit(0).cast("bigint").alias("draw"), key).limit(0)
+    spans = run.withColumn("lo", F.col("hi") - F.col(weight)).select(key, "lo", "hi", F.explode(F.sequence(F.floor("lo"), F.floor("hi"))).alias("cell"))
+    digest = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double")
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), (digest / F.lit(float(1 << 48)) * F.lit(float(total))).alias("u")).withColumn("cell", F.floor("u"))
+    return draws.join(spans, "cell").filter((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).select("draw", key)

@@ -134,6 +134,15 @@ def sm1(s: SparkSession, d: str) -> DataFrame:
     return sampler_weights(s, d).select("image_id", F.round("weight", 9).alias("weight"))
 
 
+@query("sm1_weighted_draw", _WEIGHTS + """, c AS (SELECT image_id, sum(weight) OVER (ORDER BY image_id) AS hi, weight FROM sw),
+u AS (SELECT j AS draw, ('0x' || substr(md5('11:' || j), 1, 12))::BIGINT / 281474976710656::DOUBLE * (SELECT max(hi) FROM c) AS u FROM range(2000) t(j))
+SELECT draw, arg_min(image_id, hi) AS image_id FROM u JOIN c ON hi > u GROUP BY 1""")
+def sm1b(s: SparkSession, d: str) -> DataFrame:
+    from ..operators.sampling import weighted_draw
+
+    return weighted_draw(sampler_weights(s, d), "image_id", "weight", 2000, 11)
+
+
 @query("ag7_sampler_profile", _WEIGHTS + """, p AS (SELECT weight / sum(weight) OVER () AS p, count(*) OVER () AS n FROM sw)
 SELECT count(*) AS images, round(sum(1 - pow(1 - p, n)), 6) AS expected_unique, round(max(p) / min(p), 6) AS max_to_min FROM p""")
 def ag7(s: SparkSession, d: str) -> DataFrame:
