@@ -94,7 +94,10 @@ def read_label_export(rows: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(~F.col("_le_quoted"), 0).when(F.size("_le_cells") != len(CELLS), 1)
         .when(~plain(cell["width"]) | ~plain(cell["height"]), 2).when(timed.isNull(), 3),
     )
-    df = df.withColumn("_le_boxes", F.when(F.col("_le_row").isNull(), parse_boxes(cell["boxes"])))
+    # Of a row that the reader took, its own fields; of a corrupt row, the cells resolved above.
+    took = F.col("_le_read").isNotNull() & F.col("_le_read._corrupt_record").isNull()
+    read = lambda name: F.coalesce(F.when(took, F.col(f"_le_read.{name}")), cell[name])
+    df = df.withColumn("_le_boxes", F.when(F.col("_le_row").isNull(), parse_boxes(read("boxes"))))
     width, height = cell["width"].try_cast("double"), cell["height"].try_cast("double")
     faults = F.array_min(F.flatten(F.transform("_le_boxes", lambda b: _box_faults(b, width, height))))
     reason = F.coalesce("_le_row", faults)
@@ -107,12 +110,11 @@ def read_label_export(rows: DataFrame, raw: str = "raw") -> DataFrame:
             number(b, 3).alias("width"), number(b, 4).alias("height"),
         ),
     )
-    errors = F.filter(F.transform(F.split(cell["errors"], ";"), lambda e: F.trim(e)), lambda e: e != "")
-    # The reader's own typed fields where it took the row, the resolved cells where its dialect differs.
-    size = lambda name: F.coalesce(F.when(F.col("_le_read._corrupt_record").isNull(), F.col(f"_le_read.{name}")), cell[name].try_cast("bigint"))
+    errors = F.filter(F.transform(F.split(read("errors"), ";"), lambda e: F.trim(e)), lambda e: e != "")
+    size = lambda name: F.coalesce(F.when(took, F.col(f"_le_read.{name}")), cell[name].try_cast("bigint"))
     record = F.struct(
-        cell["label_path"].alias("label_path"), size("width").alias("width"), size("height").alias("height"), typed.alias("boxes"),
-        errors.alias("errors"), cell["annotator"].alias("annotator"), timed.alias("exported_at"), cell["note"].alias("note"),
+        read("label_path").alias("label_path"), size("width").alias("width"), size("height").alias("height"), typed.alias("boxes"),
+        errors.alias("errors"), read("annotator").alias("annotator"), timed.alias("exported_at"), read("note").alias("note"),
     )
     return df.withColumn("record", F.when(F.col("reason").isNull(), record)).select(*kept, "reason", "record", F.col("_le_read._corrupt_record").alias("_le_corrupt"))
 
