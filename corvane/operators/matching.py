@@ -215,9 +215,12 @@ def union_area(boxes: np.ndarray) -> float:
 
 def _cells(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     """(area of the union of a, of the union of b, of what both cover)."""
+    if len(a) <= 1 and len(b) <= 1:  # most images hold one box of a class a side
+        p, q = (a[0].tolist() if len(a) else None), (b[0].tolist() if len(b) else None)
+        x = min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0]) if p and q else 0.0
+        y = min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1]) if p and q else 0.0
+        return p[2] * p[3] if p else 0.0, q[2] * q[3] if q else 0.0, max(x, 0.0) * max(y, 0.0)
     both = np.concatenate([a, b])
-    if not len(both):
-        return 0.0, 0.0, 0.0
     xs, ys = np.unique(np.concatenate([both[:, 0], both[:, 0] + both[:, 2]])), np.unique(np.concatenate([both[:, 1], both[:, 1] + both[:, 3]]))
     area = np.diff(ys)[:, None] * np.diff(xs)[None, :]
 
@@ -249,7 +252,7 @@ def coverage(truths: DataFrame, detections: DataFrame, keys: list[str]) -> DataF
             for r in pdf.itertuples(index=False):
                 t, d = _arrays(r.t, 4), _arrays(r.d, 5)[:, 1:]
                 ta, da, both = _cells(t, d)
-                well = sum(_cells(t[k : k + 1], d)[2] >= 0.8 * t[k, 2] * t[k, 3] for k in range(len(t)))
+                well = sum(_cells(t[k : k + 1], d)[2] >= 0.8 * t[k, 2] * t[k, 3] for k in range(len(t))) if both else 0
                 out.append((*(getattr(r, k) for k in keys), ta, both, da - both, len(t), int(well)))
             yield pd.DataFrame(out, columns=[*keys, "truth_area", "covered_area", "extra_area", "truths", "covered_truths"])
 
