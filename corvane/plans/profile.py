@@ -201,8 +201,8 @@ ix AS (SELECT b, ('0x' || substr(md5('1337:' || b || ':' || j), 1, 12))::BIGINT
 m AS (SELECT b, avg(x) AS m FROM ix JOIN v USING (k) GROUP BY 1)
 SELECT round(quantile_cont(m, 0.025), 6) AS lower_95, round(quantile_cont(m, 0.975), 6) AS upper_95 FROM m""")
 def ag18(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "part").filter("p_size = 7").select("p_partkey", C("p_retailprice").alias("x"))
-    return bootstrap_interval(v, "p_partkey", "x", draws=200, seed=1337)
+    v = table(s, d, "part").select("p_partkey", C("p_retailprice").alias("x"))
+    return bootstrap_interval(v, "p_partkey", "x", draws=1000, seed=1337)
 
 
 def bootstrap_interval(values: DataFrame, key: str, x: str, draws: int, seed: int) -> DataFrame:
@@ -210,8 +210,8 @@ def bootstrap_interval(values: DataFrame, key: str, x: str, draws: int, seed: in
     ranked = global_rank(values, [C(key)], "k").withColumn("k", C("k") - 1)
     n = ranked.count()
     spark = values.sparkSession
-    j = spark.range(n).withColumnRenamed("id", "j")
-    ix = j.select("j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    # One range over all draws and places, so that the planner knows its size: exploded draws were taken for n rows and broadcast.
+    ix = spark.range(n * draws).select((C("id") % F.lit(max(n, 1))).alias("j"), F.expr(f"id div {max(n, 1)}").cast("int").alias("b"))
     digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), C("b").cast("string"), C("j").cast("string"))), 1, 12), 16, 10).cast("bigint")
     means = ix.select("b", (digest % F.lit(max(n, 1))).alias("k")).join(ranked.select("k", x), "k").groupBy("b").agg(F.avg(x).alias("m"))
     return means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lower_95"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("upper_95"))
