@@ -90,7 +90,7 @@ SELECT image_id, instance_id, x0 AS start, w AS length FROM instances WHERE inst
 UNION ALL SELECT image_id, instance_id, x0 + w + 5 AS start, h AS length FROM instances WHERE instance_id <= 2""")
 def fn12(s: SparkSession, d: str) -> DataFrame:
     runs = F.array(C("x0"), C("w"), F.lit(5), C("h"), F.lit(9))
-    return V.instances(s, d).filter("instance_id <= 2").select("image_id", "instance_id", F.explode(H.rle_spans(runs, C("width"))).alias("s")).select("image_id", "instance_id", "s.start", "s.length")
+    return V.instances(s, d).select("image_id", "instance_id", F.explode(H.rle_spans(runs, C("width"))).alias("s")).select("image_id", "instance_id", "s.start", "s.length")
 
 
 @query("fn13_expanded_box", f"""WITH {V.EVIDENCE_SQL}
@@ -208,7 +208,7 @@ def fn31(s: SparkSession, d: str) -> DataFrame:
 SELECT image_id, instance_id, round(least(w, h) / greatest(w, h)::DOUBLE, 9) AS iou FROM m""")
 def fn11(s: SparkSession, d: str) -> DataFrame:
     mask = lambda n: F.array(F.lit(5), n, F.lit(1000) - n)
-    return V.instances(s, d).filter("instance_id <= 2").select("image_id", "instance_id", F.round(H.mask_iou(mask(C("w")), mask(C("h"))), 9).alias("iou"))
+    return V.instances(s, d).select("image_id", "instance_id", F.round(H.mask_iou(mask(C("w")), mask(C("h"))), 9).alias("iou"))
 
 
 @query("fn16_difference_hash", """SELECT vec_id, list_sum(list_transform(range(0, 56), lambda k: CASE WHEN embedding[(k // 7) * 8 + k % 7 + 2] > embedding[(k // 7) * 8 + k % 7 + 1] THEN 1::BIGINT << (55 - k)::INT ELSE 0 END))::BIGINT AS h FROM embeddings""")

@@ -5,10 +5,15 @@ import hashlib
 import numpy as np
 
 from corvane.plans import registry
+from corvane.plans import views as V
 
 QUERIES = registry.queries()
 
 
+def boxes(spark, data):
+    return V.instances(spark, data).select("image_id", "instance_id", "x0", "w", "h", "width").collect()
+
+
 def drawn(text):
     """The 48 bits of a digest that stand for a uniform draw."""
     return int(hashlib.md5(text.encode()).hexdigest()[:12], 16)
@@ -20,3 +25,23 @@ def test_bootstrap_takes_every_row_a_thousand_times(spark, data):
     means = [x[[drawn(f"1337:{b}:{j}") % len(x) for j in range(len(x))]].mean() for b in range(1000)]
     got = QUERIES["ag18_bootstrap_interval"](spark, data).first()
     assert np.allclose([got["lower_95"], got["upper_95"]], np.quantile(means, [0.025, 0.975]), atol=2e-6)
+
+
+def test_mask_iou_of_every_instance(spark, data):
+    rows = boxes(spark, data)
+    got = {(r["image_id"], r["instance_id"]): r["iou"] for r in QUERIES["fn11_mask_iou"](spark, data).collect()}
+    assert len(got) == len(rows) == spark.read.parquet(f"{data}/lineitem.parquet").count() and max(k for _, k in got) > 2
+    for r in rows:
+        a, b = (np.repeat([0, 1, 0], [5, n, 1000 - n]) == 1 for n in (r["w"], r["h"]))
+        assert abs(got[r["image_id"], r["instance_id"]] - (a & b).sum() / (a | b).sum()) < 1e-8
+
+
+def test_rle_spans_of_every_instance(spark, data):
+    rows = boxes(spark, data)
+    assert max(r["instance_id"] for r in rows) > 2
+    want = []
+    for r in rows:
+        flat = np.repeat([0, 1, 0, 1, 0], [r["x0"], r["w"], 5, r["h"], 9])
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], flat, [0]])))
+        want += [(r["image_id"], r["instance_id"], int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
+    assert sorted(tuple(r) for r in QUERIES["fn12_rle_spans"](spark, data).collect()) == sorted(want)
