@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming, hash_parts
+from ..session import cut
 from ..skew import salted_join
 
 
@@ -34,3 +35,26 @@ def near_hash_pairs(left: DataFrame, right: DataFrame, max_distance: int, bits:
         first = first & ((F.col("i") <= k) | (p != 0))
     pairs = salted_join(lists(left, "g"), lists(right, "h").drop("i"), "part")
     return pairs.filter(first).withColumn("distance", hamming(F.col("g"), F.col("h"))).filter(F.col("distance") <= max_distance).select("g", "h", "distance")
+
+
+def near_images_across_splits(images: DataFrame, max_distance: int) -> DataFrame:
+    """(left_image_id, left_split, right_image_id, right_split, g, h, distance) of images whose splits differ and whose hashes are at most ``max_distance`` bits apart.
+
+    ``images`` has image_id, split, sha256 and h; rows without h or split match
+    nothing. Each pair comes out once, left_split < right_split, and not if both
+    have the same sha256; an unknown sha256 equals none. Hashes are paired first,
+    then (hash, split), then contents, and only what is left is expanded to images.
+    """
+    place = F.concat_ws(":", F.col("h").cast("string"), "split")
+    x = images.filter("h is not null and split is not null").select("image_id", "split", "sha256", "h", place.alias("place"))
+    x = cut(x.withColumn("content", F.concat_ws(":", "place", F.coalesce("sha256", F.lit("")))).distinct())
+    sides, contents = x.select("h", "split", "place").distinct(), x.select("place", "content", "sha256").distinct()
+    pairs = near_hash_pairs(x, x, max_distance)
+    pairs = salted_join(pairs, sides.toDF("g", "left_split", "left_place"), "g")
+    pairs = cut(salted_join(pairs, sides.toDF("h", "right_split", "right_place"), "h").filter("left_split < right_split"))
+    pairs = salted_join(pairs, contents.toDF("left_place", "left_content", "left_sha256"), "left_place")
+    pairs = salted_join(pairs, contents.toDF("right_place", "right_content", "right_sha256"), "right_place")
+    pairs = cut(pairs.filter("left_sha256 is null or right_sha256 is null or left_sha256 <> right_sha256"))
+    pairs = salted_join(pairs, x.select(F.col("content").alias("left_content"), F.col("image_id").alias("left_image_id")), "left_content")
+    pairs = salted_join(pairs, x.select(F.col("content").alias("right_content"), F.col("image_id").alias("right_image_id")), "right_content")
+    return pairs.select("left_image_id", "left_split", "right_image_id", "right_split", "g", "h", "distance").distinct()

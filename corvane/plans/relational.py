@@ -11,7 +11,7 @@ from ..operators import sampling as S
 from ..operators.components import star_components
 from ..operators.ordering import global_rank, hash_sample
 from ..operators.records import keep_best
-from ..operators.similarity import near_hash_pairs
+from ..operators.similarity import near_hash_pairs, near_images_across_splits
 from ..session import table
 from . import views as V
 from .records import N
@@ -58,8 +58,10 @@ _SCAN = "x AS (SELECT DISTINCT phash, lower(trim(images.split)) AS split FROM sa
 
 @query("jn5_near_hashes", f"WITH {_SCAN} SELECT a.phash AS g, b.phash AS h, bit_count(xor(a.phash, b.phash))::INT AS distance FROM x a JOIN x b ON a.split = 'train2017' AND b.split = 'val2017' AND bit_count(xor(a.phash, b.phash)) <= 5")
 def jn5(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "same_release_split_leakage_audit").select(C("phash").alias("h"), F.lower(F.trim(C("images.split"))).alias("split"))
-    return near_hash_pairs(x.filter("split = 'train2017'"), x.filter("split = 'val2017'"), 5)
+    digits = F.regexp_extract(F.lower(F.trim("sha256")), "^(?:sha256:)?([0-9a-f]{64})$", 1)
+    x = table(s, d, "same_release_split_leakage_audit").select(
+        "images.image_id", F.lower(F.trim(C("images.split"))).alias("split"), F.when(digits != "", digits).alias("sha256"), C("phash").alias("h"))
+    return near_images_across_splits(x, 5)
 
 
 @query("jn6_ordered_near_hashes", f"WITH {V.HASHES_SQL}, u AS (SELECT DISTINCT h, split FROM hashes) SELECT DISTINCT a.h AS g, b.h, bit_count(xor(a.h, b.h))::INT AS distance FROM u a JOIN u b ON a.split <> b.split AND a.h < b.h AND bit_count(xor(a.h, b.h)) <= 5 ORDER BY 3, 1, 2")

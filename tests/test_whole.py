@@ -1,9 +1,11 @@
 """Queries that take every row, against brute force over the same tables; none of them may stop at a part of its input."""
 
 import hashlib
+import re
 
 import numpy as np
 
+from corvane.operators.similarity import near_images_across_splits
 from corvane.plans import registry
 from corvane.plans import views as V
 
@@ -45,3 +47,28 @@ def test_rle_spans_of_every_instance(spark, data):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], flat, [0]])))
         want += [(r["image_id"], r["instance_id"], int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
     assert sorted(tuple(r) for r in QUERIES["fn12_rle_spans"](spark, data).collect()) == sorted(want)
+
+
+def near_pairs(rows, d=5):
+    """All pairs of (image_id, split, sha256, hash) rows of different splits, the lesser split on the left."""
+    return {(a[0], a[1], b[0], b[1], a[3], b[3], k) for a in rows for b in rows if a[1] and b[1] and a[1] < b[1] and a[3] is not None and b[3] is not None
+            and (k := ((a[3] ^ b[3]) & (2**64 - 1)).bit_count()) <= d and not (a[2] and a[2] == b[2])}
+
+
+def test_near_images_of_all_splits(spark, data):
+    def sha(text):
+        m = re.fullmatch("(?:sha256:)?([0-9a-f]{64})", (text or "").strip().lower())
+        return m and m[1]
+
+    data = data.replace("sf0.001", "sf0.01")  # the smallest tables have no pair with test2017
+    scans = spark.read.parquet(f"{data}/same_release_split_leakage_audit.parquet").select("images.image_id", "images.split", "sha256", "phash").collect()
+    want = near_pairs([(i, (sp or "").strip(" ").lower(), sha(c), h) for i, sp, c, h in scans])
+    got = [tuple(r) for r in QUERIES["jn5_near_hashes"](spark, data).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {"test2017", "val2017"} <= {s for r in got for s in (r[1], r[3])}
+
+
+def test_near_images_leave_out_equal_contents(spark):
+    rows = [("a", "train", "c1", 0), ("b", "val", "c1", 0), ("c", "test", "c2", 31), ("d", "val", None, 1), ("e", "train", None, 1), ("f", "val", "c3", -1), ("g", "test", "c3", -2), ("h", "test", "c4", -33),
+            ("i", "test", "c5", None), ("j", None, "c6", 0), ("a", "val", "c1", 0), ("a", "train", "c7", 0)]
+    got = [tuple(r) for r in near_images_across_splits(spark.createDataFrame(rows, "image_id string, split string, sha256 string, h bigint"), 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_pairs(rows)
