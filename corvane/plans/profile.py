@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators.ordering import global_rank, ranged
-from ..session import table
+from ..session import cut, table
 from . import records as P
 from . import views as V
 from .registry import query
@@ -140,7 +140,8 @@ SELECT draw, arg_min(image_id, hi) AS image_id FROM u JOIN c ON hi > u GROUP BY
 def sm1b(s: SparkSession, d: str) -> DataFrame:
     from ..operators.sampling import weighted_draw
 
-    return weighted_draw(sampler_weights(s, d), "image_id", "weight", 2000, 11)
+    w = cut(sampler_weights(s, d))
+    return weighted_draw(w, "image_id", "weight", w.count(), 11)
 
 
 @query("ag7_sampler_profile", _WEIGHTS + """, p AS (SELECT weight / sum(weight) OVER () AS p, count(*) OVER () AS n FROM sw)

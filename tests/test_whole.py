@@ -8,6 +8,7 @@ import numpy as np
 from corvane.operators.similarity import near_images_across_splits
 from corvane.plans import registry
 from corvane.plans import views as V
+from corvane.plans.profile import sampler_weights
 
 QUERIES = registry.queries()
 
@@ -72,3 +73,11 @@ def test_near_images_leave_out_equal_contents(spark):
             ("i", "test", "c5", None), ("j", None, "c6", 0), ("a", "val", "c1", 0), ("a", "train", "c7", 0)]
     got = [tuple(r) for r in near_images_across_splits(spark.createDataFrame(rows, "image_id string, split string, sha256 string, h bigint"), 5).collect()]
     assert len(got) == len(set(got)) and set(got) == near_pairs(rows)
+
+
+def test_weighted_draw_is_as_long_as_the_images(spark, data):
+    w = sorted((r["image_id"], r["weight"]) for r in sampler_weights(spark, data).collect())
+    hi = np.cumsum([x for _, x in w])
+    got = {r["draw"]: r["image_id"] for r in QUERIES["sm1_weighted_draw"](spark, data).collect()}
+    assert len(w) == len(got) == V.images(spark, data).filter("split = 'train2017'").count()
+    assert got == {j: w[np.searchsorted(hi, drawn(f"11:{j}") / 2**48 * hi[-1], "right")][0] for j in range(len(w))}
