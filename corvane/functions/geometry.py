@@ -16,7 +16,7 @@ def _safe(n: Column, d: Column) -> Column:
 def geometry_status(sw: Column, sh: Column, dw: Column, dh: Column, tolerance: float = 0.01) -> Column:
     """``aligned_resize``, ``rotation_candidate`` or ``geometry_mismatch`` by log ratio of the aspect ratios; null if a size is below 1."""
     if not 0 < tolerance < 0.25:
-        raise ValueError("tolerance must be between 0 and 0.25")
+        raise ValueError(f"no aspect tolerance: {tolerance}")
     source, decoded, limit = sw / sh, dw / dh, F.log1p(F.lit(tolerance))
     status = F.when(F.abs(F.log(decoded / source)) <= limit, "aligned_resize").when(F.abs(F.log(decoded * source)) <= limit, "rotation_candidate").otherwise("geometry_mismatch")
     return F.when((sw >= 1) & (sh >= 1) & (dw >= 1) & (dh >= 1), status)

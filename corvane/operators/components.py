@@ -16,20 +16,21 @@ def _pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(vertex, root) of every vertex in ``edges`` (u, v); root is the smallest vertex linked to it.
 
     Large-star and small-star steps alternate until no edge changes, which
     takes a number of rounds logarithmic in the longest path. Self links and
     links with a null side relate nothing; vertices without links do not come
-    out; an empty input gives an empty output.
+    out; an empty input gives an empty output. Edges that still change after
+    ``max_rounds`` are an error, never a wrong component.
     """
     now = cut(_pairs(edges))
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
-            break
+            return _labels(now)
         before = state
         # large star: the neighbours of a vertex that are greater move to its least neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +39,11 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = cut(large.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         # small star: a vertex and its smaller neighbours move to the least of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        moved = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
+        moved = lookup_join(large, least, "v", "inner", rows=state[0]).select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
         now = cut(_pairs(moved))
-    roots = now.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("vertex"), "root")
-    return roots.unionByName(now.select(F.col("u").alias("vertex"), F.col("u").alias("root")).distinct())
+    raise RuntimeError(f"components not found in {max_rounds} rounds")
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    roots = stars.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("vertex"), "root")
+    return roots.unionByName(stars.select(F.col("u").alias("vertex"), F.col("u").alias("root")).distinct())

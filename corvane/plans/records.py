@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import records as R
-from ..session import table
+from ..session import bounded_values, table
 from . import views as V
 from .registry import query
 
@@ -118,7 +118,7 @@ e AS (SELECT row_id, k, CASE
 f AS (SELECT row_id, min(k) FILTER (err IS NOT NULL) AS bad, arg_min(err, k) FILTER (err IS NOT NULL) AS err FROM e GROUP BY 1)
 SELECT x.row_id, coalesce(x.r, f.err) AS error, (CASE WHEN x.r IS NOT NULL THEN 0 ELSE coalesce(f.bad - 1, len(x.instances)) END)::INT AS sound FROM x LEFT JOIN f USING (row_id)""")
 def pf7(s: SparkSession, d: str) -> DataFrame:
-    ids = [r["class_id"] for r in table(s, d, "class_map").select("class_id").distinct().limit(R.MAX_RULES).collect()]
+    ids = bounded_values(table(s, d, "class_map"), "class_id", R.MAX_RULES)
     return R.validate_records(table(s, d, "processed_records"), ids, "visual_redactions_v1").select("row_id", "error", "sound")
 
 

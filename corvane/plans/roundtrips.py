@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, table
+from ..session import scratch_dir, table
 from ..sources import files as S
 from .registry import query
 
@@ -15,8 +13,7 @@ C = F.col
 
 
 def _place(s: SparkSession) -> str:
-    """A fresh folder beside the checkpoints, which every executor sees."""
-    return f"{checkpoint_dir(s)}/corvane-files-{uuid.uuid4().hex}"
+    return f"{scratch_dir(s, 'corvane-files')}/data"
 
 
 @query("sc1_sk1_jsonl", "SELECT c_custkey, c_name, c_acctbal FROM customer")

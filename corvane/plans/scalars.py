@@ -143,12 +143,10 @@ def fn19(s: SparkSession, d: str) -> DataFrame:
     return n.groupBy("source_split").agg(F.array_sort(F.collect_list("n")).alias("a")).select("source_split", F.round(H.entropy_bits(C("a")), 9).alias("bits"))
 
 
-@query("fn20_asset_keys", r"""WITH k AS (SELECT record_id, image_path, regexp_replace(regexp_replace(regexp_replace(image_path, '^.*/', ''), '\.[^.]*$', ''), '\.rf\.[0-9a-f]{16,}$', '', 'i') AS stem
-  FROM (SELECT DISTINCT record_id, image_path FROM audit_yolo_detection_dataset)),
-n AS (SELECT record_id, trim(regexp_replace(lower(stem), '[^a-z0-9]+', '-', 'g'), '-') AS asset FROM k),
-v AS (SELECT *, CASE WHEN regexp_matches(asset, '^video-?\d+-\d+(?:-jpg)?$') THEN regexp_extract(asset, '^(video-?\d+)-', 1)
-  ELSE trim(regexp_replace(asset, '(?:-?(?:mp4|mov|avi)-?t-?\d+.*|-?frame-?\d+.*)$', ''), '-') END AS g FROM n)
-SELECT record_id, asset, CASE WHEN g = '' OR g = asset THEN '' ELSE g END AS video FROM v""")
+@query("fn20_asset_keys", r"""WITH k AS (SELECT DISTINCT record_id, image_path, regexp_replace(lower(parse_filename(image_path, true)), '\.rf\.[0-9a-f]{16,}$|^[0-9a-f-]{36}___', '', 'g') AS stem FROM audit_yolo_detection_dataset),
+n AS (SELECT record_id, array_to_string(regexp_extract_all(stem, '[a-z0-9]+'), '-') AS asset FROM k)
+SELECT record_id, asset, CASE WHEN regexp_matches(asset, '^video-?\d+-\d+(-jpg)?$') THEN regexp_extract(asset, '^(video-?\d+)-', 1)
+  ELSE regexp_extract(asset, '^(.*?)-?\b(?:(?:mp4|mov|avi)-?t|frame)-?[0-9]', 1) END AS video FROM n""")
 def fn20(s: SparkSession, d: str) -> DataFrame:
     df = table(s, d, "audit_yolo_detection_dataset").select("record_id", "image_path").distinct()
     return df.select("record_id", H.asset_key(C("image_path")).alias("asset"), H.video_group(C("image_path")).alias("video"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import providers
 from ..operators import nested
-from ..session import checkpoint_dir, table
+from ..session import scratch_dir, table
 from ..sources import files, label_export
 from ..streaming import events
 from . import views as V
@@ -148,8 +148,5 @@ def ss1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ss3_stream_counts", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def ss3(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    name = "corvane_" + uuid.uuid4().hex
     counts = events.windowed_counts(events.stream_table(spark, d, "events"))
-    return events.run_to_table(counts, name, f"{checkpoint_dir(spark)}/{name}").select("event_type", F.col("window.start").cast("string").alias("start"), "n")
+    return events.run_to_files(counts, scratch_dir(spark, "corvane-stream")).select("event_type", F.col("window.start").cast("string").alias("start"), "n")

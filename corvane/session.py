@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A UTC session with adaptive execution on; ``conf`` overrides any setting."""
+def get_session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A UTC session with adaptive execution on; ``conf`` overrides any setting.
+
+    ``shuffle_partitions`` is for small local runs; left out, the cluster's own
+    setting holds, since adaptive execution merges partitions but never adds any.
+    """
     settings = {
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
+    if shuffle_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.master(master).appName("corvane")
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -61,5 +68,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which every executor sees; removed when the driver's JVM ends."""
+    at = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
+def bounded_values(df: DataFrame, column: str, most: int) -> list:
+    """The distinct non-null values of ``column``, of a dimension with at most ``most`` of them; more are an error, never cut off."""
+    rows = df.select(column).filter(df[column].isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return sorted(r[0] for r in rows)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

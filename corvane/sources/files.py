@@ -8,7 +8,7 @@ import io
 import json
 import struct
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +83,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").csv(path)
 
 
+def _load_yaml(text: str, mapping: Callable[[list[tuple[object, object]]], dict]) -> object:
+    """A YAML document whose mappings are made by ``mapping`` from their pairs, repeats and all."""
+    import yaml  # only where a profile is not JSON
+
+    class Loader(yaml.SafeLoader):
+        pass
+
+    def pairs(loader: yaml.SafeLoader, node: yaml.MappingNode) -> dict:
+        loader.flatten_mapping(node)
+        return mapping([(loader.construct_object(k, True), loader.construct_object(v, True)) for k, v in node.value])
+
+    Loader.add_constructor(yaml.resolver.BaseResolver.DEFAULT_MAPPING_TAG, pairs)
+    return yaml.load(text, Loader)
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Threshold rules of a YAML (or JSON) profile; a repeated key, in the file or among the rules, is an error."""
 
@@ -95,9 +110,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     try:
         profile = json.loads(text, object_pairs_hook=unique)
     except json.JSONDecodeError:
-        import yaml  # only where a profile is not JSON
-
-        profile = yaml.safe_load(text)
+        profile = _load_yaml(text, unique)
     if not isinstance(profile, dict) or not profile.get("profile_id") or not profile.get("rules"):
         raise ValueError("a profile needs profile_id and rules")
     rows = [(r["provider"], r["class_name"], float(r["score"]), int(r["min_area"]), float(r["max_fraction"])) for r in profile["rules"]]

@@ -1,9 +1,10 @@
 """Problem 5: comma-separated label records, loaded where valid and set apart with a reason where not.
 
 Every row is read permissively under an explicit schema that retains the corrupt
-raw text; the rows are then classed anew by quoting, cell count and casts, since
-a permissive reader is both too lenient (a quote inside a cell, a signed size)
-and too vague (one flag for every fault).
+raw text. A row that the reader took and that has the strict shape, where its
+leniency (a quote inside a cell, a signed size) cannot matter, keeps the reader's
+fields; corrupt and doubtful rows are classed anew by quoting, cell count and
+casts. What is left are the boxes inside their cell.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ REASONS = (
 # A cell is quoted and closed, or has neither quote nor comma. Possessive, so no text makes the match slow or deep.
 _CELL = r'"(?:[^"]++|"")*+"|[^",]*+'
 _ROW = rf"(?s)\A(?:{_CELL})(?:,(?:{_CELL}))*+\z"
-_NUMBER = r"\A[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?\z"
-_WORD = r"(?i)\A[+-]?(?:nan|inf|infinity)\z"
-_TIME = r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z"
+_NUMBER = r"[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
+_WORD = r"[+-]?(?i:nan|inf|infinity)"
+_TIME = r"(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z"
+# Eight well-quoted cells, sizes in plain digits that fit a bigint and a time of the right form.
+_SIZE, _STAMP = r'(?:[0-9]{1,18}+|"[0-9]{1,18}+")', rf'(?:{_TIME}|"{_TIME}")'
+_STRICT = rf"(?s)\A(?:{_CELL}),{_SIZE},{_SIZE},(?:{_CELL}),(?:{_CELL}),(?:{_CELL}),{_STAMP},(?:{_CELL})\z"
+_BOX = rf"[ \t]*+{_NUMBER}(?:[ \t]++{_NUMBER}){{4}}[ \t]*+"
+_BOXES = rf"\A{_BOX}(?:;{_BOX})*+\z"
 
 
 def _unquoted(cell: Column) -> Column:
@@ -39,31 +45,31 @@ def split_cells(raw: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(F.lit(","), raw), F.lit(rf"(?s),({_CELL})"), F.lit(1)), _unquoted)
 
 
-def parse_boxes(cell: Column) -> Column:
-    """The values of each box as strings: boxes parted by ``;``, values by blanks or tabs; an all-blank cell has none."""
+def box_faults(cell: Column) -> Column:
+    """Of a boxes cell that is not plain, the first fault of the shape of its boxes, as a position in REASONS; null if there is none.
+
+    Boxes are parted by ``;``, values by blanks or tabs. A plain cell, five numbers
+    a box, has no such fault, and each cell that is neither plain nor blank has one.
+    """
     trimmed = lambda c: F.regexp_replace(c, r"\A[ \t]+|[ \t]+\z", "")
-    values = F.transform(F.split(cell, ";", -1), lambda b: F.when(trimmed(b) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed(b), r"[ \t]+", -1)))
-    return F.when(F.regexp_like(cell, F.lit(r"\A\s*\z")), F.array().cast("array<array<string>>")).otherwise(values)
-
-
-def _box_faults(values: Column, width: Column, height: Column) -> Column:
-    """Of one box the faults that hold, as positions in REASONS; later checks presume the earlier ones passed."""
-    rank = {name: F.lit(k) for k, name in enumerate(REASONS)}
-    numeric = F.forall(values, lambda v: F.regexp_like(v, F.lit(_NUMBER)) | F.regexp_like(v, F.lit(_WORD)))
-    num = F.transform(values, lambda v: F.when(F.regexp_like(v, F.lit(_NUMBER)), v.try_cast("double")))
-    finite = F.forall(num, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    at = lambda k: F.get(num, F.lit(k))
-    c, x, y, w, h = (at(k) for k in range(5))
-    outside = (x < 0) | (x > 1) | (y < 0) | (y > 1) | (w <= 0) | (w > 1) | (h <= 0) | (h > 1)
-    edges = (x - w / 2 < 0) | (x + w / 2 > 1) | (y - h / 2 < 0) | (y + h / 2 > 1)
-    return F.when(F.size(values) != 5, F.array(rank["box_value_count"])).when(~numeric, F.array(rank["non_numeric"])).when(~finite, F.array(rank["non_finite"])).otherwise(
-        F.filter(
-            F.array(
-                F.when((c < 0) | (c != F.rint(c)), rank["class_id"]), F.when(outside, rank["outside_unit_range"]),
-                F.when(edges, rank["box_outside_image"]), F.when((w * width <= 1) | (h * height <= 1), rank["box_too_thin"]),
-            ),
-            lambda r: r.isNotNull(),
-        )
+    boxes = F.transform(F.split(cell, ";", -1), lambda b: F.split(trimmed(b), r"[ \t]+", -1))
+    return (
+        F.when(F.exists(boxes, lambda b: (F.size(b) != 5) | (F.get(b, F.lit(0)) == "")), REASONS.index("box_value_count"))
+        .when(~F.forall(F.flatten(boxes), lambda v: F.regexp_like(v, F.lit(rf"\A(?:{_NUMBER}|{_WORD})\z"))), REASONS.index("non_numeric"))
+        .otherwise(REASONS.index("non_finite"))
+    )
+
+
+def _box_fault(b: Column, width: Column, height: Column) -> Column:
+    """Of one box of five numbers the first fault, as a position in REASONS."""
+    c, x, y, w, h = (b[k] for k in ("c", "x", "y", "w", "h"))
+    inf = float("inf")
+    return (
+        F.when((F.abs(c) == inf) | (F.abs(x) == inf) | (F.abs(y) == inf) | (F.abs(w) == inf) | (F.abs(h) == inf), REASONS.index("non_finite"))
+        .when((c < 0) | (c != F.rint(c)), REASONS.index("class_id"))
+        .when((x < 0) | (x > 1) | (y < 0) | (y > 1) | (w <= 0) | (w > 1) | (h <= 0) | (h > 1), REASONS.index("outside_unit_range"))
+        .when((x - w / 2 < 0) | (x + w / 2 > 1) | (y - h / 2 < 0) | (y + h / 2 > 1), REASONS.index("box_outside_image"))
+        .when((w * width <= 1) | (h * height <= 1), REASONS.index("box_too_thin"))
     )
 
 
@@ -72,49 +78,69 @@ def read_label_export(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
     record: label_path, width, height, boxes array<struct<class_id, center_x,
     center_y, width, height>>, errors array<string> (parted by ``;``), annotator,
-    exported_at, note. ``reason`` is the first of REASONS that holds for the row
-    or for any of its boxes. One carriage return at the end of ``raw`` is not part
-    of it. A null ``raw`` has no cells and so the reason ``column_count``, an
-    empty one likewise. Columns of ``rows`` are kept; those named reason, record
-    or with a leading ``_le_`` are replaced.
+    exported_at, note, width_text, height_text, class_texts. A whole number that a
+    bigint cannot hold is null in width, height or class_id and stands as
+    delivered in width_text, height_text or, one entry a box, class_texts, which
+    are null otherwise.
+    ``reason`` is the first of REASONS that holds for the row or for any of its
+    boxes. One carriage return at the end of ``raw`` is not part of it. A null
+    ``raw`` has no cells and so the reason ``column_count``, an empty one likewise.
+    Columns of ``rows`` are kept; those named reason, record or with a leading
+    ``_le_`` are replaced.
     """
     text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\r\z", "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "quote": '"', "escape": '"', "multiLine": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "timeZone": "UTC", "emptyValue": "", "nullValue": "\u0000"}
     kept = [c for c in rows.columns if c not in ("reason", "record") and not c.startswith("_le_")]
     df = rows.select(*kept, text.alias("_le_text"))
     df = df.withColumn("_le_read", F.from_csv("_le_text", SCHEMA, options))
-    df = df.withColumn("_le_quoted", F.regexp_like("_le_text", F.lit(_ROW)))
-    df = df.withColumn("_le_cells", F.when(F.col("_le_quoted"), split_cells(F.col("_le_text"))))
+    # The reader decides where it took the row and its leniency cannot have mattered: a row of the strict shape.
+    took = F.col("_le_read").isNotNull() & F.col("_le_read._corrupt_record").isNull()
+    df = df.withColumn("_le_took", took & F.regexp_like("_le_text", F.lit(_STRICT)))
+    doubted = ~F.col("_le_took")
+    df = df.withColumn("_le_quoted", F.when(doubted, F.regexp_like("_le_text", F.lit(_ROW))))
+    df = df.withColumn("_le_cells", F.when(doubted & F.col("_le_quoted"), split_cells(F.col("_le_text"))))
     cell = {name: F.get("_le_cells", F.lit(k)) for k, name in enumerate(CELLS)}
     plain = lambda c: F.regexp_like(c, F.lit(r"\A[0-9]*[1-9][0-9]*\z"))
     stamp = F.try_to_timestamp(cell["exported_at"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    timed = F.when(F.regexp_like(cell["exported_at"], F.lit(_TIME)), stamp)
+    df = df.withColumn("_le_time", F.when(F.col("_le_took"), F.col("_le_read.exported_at")).when(F.regexp_like(cell["exported_at"], F.lit(rf"\A{_TIME}\z")), stamp))
+    small = F.col("_le_took") & ((F.col("_le_read.width") < 1) | (F.col("_le_read.height") < 1))
     df = df.withColumn(
         "_le_row",
-        F.when(~F.col("_le_quoted"), 0).when(F.size("_le_cells") != len(CELLS), 1)
-        .when(~plain(cell["width"]) | ~plain(cell["height"]), 2).when(timed.isNull(), 3),
+        F.when(doubted & ~F.col("_le_quoted"), REASONS.index("broken_quoting"))
+        .when(doubted & (F.size("_le_cells") != len(CELLS)), REASONS.index("column_count"))
+        .when(small | (doubted & (~plain(cell["width"]) | ~plain(cell["height"]))), REASONS.index("bad_size"))
+        .when(F.col("_le_time").isNull(), REASONS.index("bad_timestamp")),
     )
-    # Of a row that the reader took, its own fields; of a corrupt row, the cells resolved above.
-    took = F.col("_le_read").isNotNull() & F.col("_le_read._corrupt_record").isNull()
-    read = lambda name: F.coalesce(F.when(took, F.col(f"_le_read.{name}")), cell[name])
-    df = df.withColumn("_le_boxes", F.when(F.col("_le_row").isNull(), parse_boxes(read("boxes"))))
-    width, height = cell["width"].try_cast("double"), cell["height"].try_cast("double")
-    faults = F.array_min(F.flatten(F.transform("_le_boxes", lambda b: _box_faults(b, width, height))))
-    reason = F.coalesce("_le_row", faults)
+    value = lambda name: F.when(F.col("_le_took"), F.col(f"_le_read.{name}")).otherwise(cell[name])
+    df = df.withColumn("_le_cell", F.when(F.col("_le_row").isNull(), value("boxes")))
+    df = df.withColumn("_le_blank", F.regexp_like("_le_cell", F.lit(r"\A\s*\z"))).withColumn("_le_plain", ~F.col("_le_blank") & F.regexp_like("_le_cell", F.lit(_BOXES)))
+    # The numbers of a plain cell, all boxes in one list, cast in one go; then five of them to a box, each read once.
+    df = df.withColumn("_le_words", F.when(F.col("_le_plain"), F.split(F.trim(F.translate("_le_cell", ";\t", "  ")), " +")))
+    df = df.withColumn("_le_numbers", F.col("_le_words").try_cast("array<double>"))
+    at = lambda i, k: F.get("_le_numbers", i * 5 + k)
+    places = F.sequence(F.lit(0), F.floor(F.size("_le_numbers") / 5).cast("int") - 1)
+    box = lambda i: F.struct(*(at(i, k).alias(n) for k, n in enumerate("cxywh")), F.get("_le_words", i * 5).alias("text"))
+    df = df.withColumn("_le_boxes", F.when(F.col("_le_plain"), F.transform(places, box)))
+    digits = lambda name: F.when(F.col("_le_took"), F.col(f"_le_read.{name}")).otherwise(cell[name].try_cast("bigint"))
+    pixels = lambda name: F.when(F.col("_le_took"), F.col(f"_le_read.{name}").cast("double")).otherwise(cell[name].try_cast("double"))
+    df = df.withColumns({"_le_w": pixels("width"), "_le_h": pixels("height")})
+    faults = F.array_min(F.transform("_le_boxes", lambda b: _box_fault(b, F.col("_le_w"), F.col("_le_h"))))
+    shape = F.when(~F.col("_le_blank") & ~F.col("_le_plain"), box_faults(F.col("_le_cell")))
+    reason = F.coalesce("_le_row", shape, faults)
     df = df.withColumn("reason", F.get(F.array(*map(F.lit, REASONS)), reason))
-    number = lambda b, k: F.get(b, F.lit(k)).try_cast("double")
-    typed = F.transform(
-        "_le_boxes",
-        lambda b: F.struct(
-            number(b, 0).try_cast("bigint").alias("class_id"), number(b, 1).alias("center_x"), number(b, 2).alias("center_y"),
-            number(b, 3).alias("width"), number(b, 4).alias("height"),
-        ),
-    )
-    errors = F.filter(F.transform(F.split(read("errors"), ";"), lambda e: F.trim(e)), lambda e: e != "")
-    size = lambda name: F.coalesce(F.when(took, F.col(f"_le_read.{name}")), cell[name].try_cast("bigint"))
+
+    def typed(b: Column) -> Column:
+        whole = F.coalesce(b["text"].try_cast("bigint"), F.when(F.abs(b["c"]) <= 2.0**53, b["c"].cast("bigint")))
+        sides = (b[k].alias(n) for k, n in (("x", "center_x"), ("y", "center_y"), ("w", "width"), ("h", "height")))
+        return F.struct(whole.alias("class_id"), *sides)
+
+    boxes = F.coalesce(F.transform("_le_boxes", typed), F.array().cast("array<struct<class_id:bigint,center_x:double,center_y:double,width:double,height:double>>"))
+    unheld = F.when(F.exists("_le_boxes", lambda b: typed(b)["class_id"].isNull()), F.transform("_le_boxes", lambda b: F.when(typed(b)["class_id"].isNull(), b["text"])))
+    errors = F.filter(F.transform(F.split(value("errors"), ";"), lambda e: F.trim(e)), lambda e: e != "")
+    long = lambda name: F.when(doubted & cell[name].try_cast("bigint").isNull(), cell[name]).alias(f"{name}_text")
     record = F.struct(
-        read("label_path").alias("label_path"), size("width").alias("width"), size("height").alias("height"), typed.alias("boxes"),
-        errors.alias("errors"), read("annotator").alias("annotator"), timed.alias("exported_at"), read("note").alias("note"),
+        value("label_path").alias("label_path"), digits("width").alias("width"), digits("height").alias("height"), boxes.alias("boxes"), errors.alias("errors"),
+        value("annotator").alias("annotator"), F.col("_le_time").alias("exported_at"), value("note").alias("note"), long("width"), long("height"), unheld.alias("class_texts"),
     )
     return df.withColumn("record", F.when(F.col("reason").isNull(), record)).select(*kept, "reason", "record", F.col("_le_read._corrupt_record").alias("_le_corrupt"))
 

@@ -39,8 +39,16 @@ def cleanup_due(touched: Column, ttl_seconds: float, at: Column) -> Column:
     return expires_at(touched, ttl_seconds) < at
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns its result."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there and returns its result, which stays in the folder ``path`` and never goes through the driver.
+
+    In ``complete`` mode each batch replaces the one before; in the other modes
+    batches are appended, a batch that is tried again replacing its own rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data" if mode == "complete" else f"{path}/data/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")

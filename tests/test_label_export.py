@@ -100,6 +100,14 @@ def test_valid_rows_are_typed(spark):
     assert (r["width"], r["height"], r["note"]) == (640, 480, 'x, "y"\nz') and tuple(r["boxes"][0]) == (0, 0.5, 0.5, 0.1, 0.1)
 
 
+def test_a_valid_row_loses_no_value(spark):
+    big = "9" * 20
+    raws = [f"a,{big},9,,,,2025-01-01T00:00:00Z,", "a,9,9,1e30 .5 .5 .5 .5;3.0 .5 .5 .5 .5;9007199254740993 .5 .5 .5 .5,,,2025-01-01T00:00:00Z,"]
+    one, two = loaded(read_label_export(frame(spark, raws))).orderBy("raw_id").collect()
+    assert (one["width"], one["width_text"], one["height"], one["height_text"], one["boxes"]) == (None, big, 9, None, [])
+    assert [b["class_id"] for b in two["boxes"]] == [None, 3, 2**53 + 1] and two["class_texts"] == ["1e30", None, None]
+
+
 def test_null_and_empty(spark):
     assert read_label_export(frame(spark, [None])).first()["reason"] == "column_count"
     assert read_label_export(frame(spark, [GOOD]).limit(0)).count() == 0

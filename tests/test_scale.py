@@ -1,10 +1,13 @@
 """Skew-safe joins and ranks give what the plain ones give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane import skew
+from corvane.operators.components import star_components
 from corvane.operators.ordering import global_rank, running_totals
 from corvane.plans.profile import upper_median
+from corvane.session import bounded_values
 
 
 def test_joins_with_a_hot_key(spark, monkeypatch):
@@ -35,3 +38,17 @@ def test_ranks_and_totals(spark):
     assert all(sums[r["id"]] == r["s"] for r in run.collect())
     xs = sorted(r["x"] for r in df.collect())
     assert upper_median(df, "x") == xs[len(xs) // 2] and upper_median(df.limit(0), "x") is None
+
+
+def test_components_raise_rather_than_stop_short(spark):
+    path = spark.range(64).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r["root"] for r in star_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        star_components(path, max_rounds=1)
+
+
+def test_bounded_values_refuse_more(spark):
+    df = spark.range(5).select(F.when(F.col("id") > 0, F.col("id")).alias("k")).unionByName(spark.range(5).select(F.col("id").alias("k")))
+    assert bounded_values(df, "k", 5) == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        bounded_values(df, "k", 4)
