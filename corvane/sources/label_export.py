@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = (
-    "label_path STRING, width BIGINT, height BIGINT, boxes STRING, errors STRING, annotator STRING, "
-    "exported_at TIMESTAMP, note STRING, _corrupt_record STRING"
-)
 CELLS = ("label_path", "width", "height", "boxes", "errors", "annotator", "exported_at", "note")
+_TYPES = {"width": "BIGINT", "height": "BIGINT", "exported_at": "TIMESTAMP"}
+SCHEMA = ", ".join(f"_le_r_{name} {_TYPES.get(name, 'STRING')}" for name in CELLS) + ", _le_corrupt STRING"
 #: In the order in which they are looked for.
 REASONS = (
     "broken_quoting", "column_count", "bad_size", "bad_timestamp", "box_value_count", "non_numeric", "non_finite",
@@ -73,6 +71,12 @@ def _box_fault(b: Column, width: Column, height: Column) -> Column:
     )
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, computed once a row: the optimizer neither copies them into what follows nor moves filters before them."""
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select("*", made)
+
+
 def read_label_export(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """``rows`` with ``reason`` (null where valid) and, of valid rows, the typed ``record``.
 
@@ -89,45 +93,43 @@ def read_label_export(rows: DataFrame, raw: str = "raw") -> DataFrame:
     ``_le_`` are replaced.
     """
     text = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), r"\r\z", "")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "quote": '"', "escape": '"', "multiLine": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "timeZone": "UTC", "emptyValue": "", "nullValue": "\u0000"}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_le_corrupt", "quote": '"', "escape": '"', "multiLine": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'", "timeZone": "UTC", "emptyValue": "", "nullValue": "\u0000"}
     kept = [c for c in rows.columns if c not in ("reason", "record") and not c.startswith("_le_")]
     df = rows.select(*kept, text.alias("_le_text"))
-    df = df.withColumn("_le_read", F.from_csv("_le_text", SCHEMA, options))
+    df = df.select("*", F.inline(F.array(F.from_csv("_le_text", SCHEMA, options))))
     # The reader decides where it took the row and its leniency cannot have mattered: a row of the strict shape.
-    took = F.col("_le_read").isNotNull() & F.col("_le_read._corrupt_record").isNull()
-    df = df.withColumn("_le_took", took & F.regexp_like("_le_text", F.lit(_STRICT)))
-    doubted = ~F.col("_le_took")
-    df = df.withColumn("_le_quoted", F.when(doubted, F.regexp_like("_le_text", F.lit(_ROW))))
-    df = df.withColumn("_le_cells", F.when(doubted & F.col("_le_quoted"), split_cells(F.col("_le_text"))))
+    accepted = F.col("_le_r_label_path").isNotNull() & F.col("_le_corrupt").isNull()
+    took, doubted = F.col("_le_took"), ~F.col("_le_took")
+    df = _once(df, _le_took=accepted & F.regexp_like("_le_text", F.lit(_STRICT)))
+    quoted = F.regexp_like("_le_text", F.lit(_ROW))
+    df = _once(df, _le_cells=F.when(doubted, F.when(quoted, split_cells(F.col("_le_text"))).otherwise(F.array().cast("array<string>"))))
     cell = {name: F.get("_le_cells", F.lit(k)) for k, name in enumerate(CELLS)}
+    value = lambda name: F.when(took, F.col(f"_le_r_{name}")).otherwise(cell[name])
     plain = lambda c: F.regexp_like(c, F.lit(r"\A[0-9]*[1-9][0-9]*\z"))
     stamp = F.try_to_timestamp(cell["exported_at"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    df = df.withColumn("_le_time", F.when(F.col("_le_took"), F.col("_le_read.exported_at")).when(F.regexp_like(cell["exported_at"], F.lit(rf"\A{_TIME}\z")), stamp))
-    small = F.col("_le_took") & ((F.col("_le_read.width") < 1) | (F.col("_le_read.height") < 1))
-    df = df.withColumn(
-        "_le_row",
-        F.when(doubted & ~F.col("_le_quoted"), REASONS.index("broken_quoting"))
+    time = F.when(took, F.col("_le_r_exported_at")).when(F.regexp_like(cell["exported_at"], F.lit(rf"\A{_TIME}\z")), stamp)
+    small = took & ((F.col("_le_r_width") < 1) | (F.col("_le_r_height") < 1))
+    row = (
+        F.when(doubted & (F.size("_le_cells") == 0), REASONS.index("broken_quoting"))
         .when(doubted & (F.size("_le_cells") != len(CELLS)), REASONS.index("column_count"))
         .when(small | (doubted & (~plain(cell["width"]) | ~plain(cell["height"]))), REASONS.index("bad_size"))
-        .when(F.col("_le_time").isNull(), REASONS.index("bad_timestamp")),
     )
-    value = lambda name: F.when(F.col("_le_took"), F.col(f"_le_read.{name}")).otherwise(cell[name])
-    df = df.withColumn("_le_cell", F.when(F.col("_le_row").isNull(), value("boxes")))
-    df = df.withColumn("_le_blank", F.regexp_like("_le_cell", F.lit(r"\A\s*\z"))).withColumn("_le_plain", ~F.col("_le_blank") & F.regexp_like("_le_cell", F.lit(_BOXES)))
+    df = _once(df, _le_time=time, _le_row=row)
+    df = _once(df, _le_row2=F.coalesce("_le_row", F.when(F.col("_le_time").isNull(), REASONS.index("bad_timestamp"))))
+    df = _once(df, _le_cell=F.when(F.col("_le_row2").isNull(), value("boxes")))
+    # 0 a blank cell, 1 a plain one, 2 one with a box of the wrong shape
+    df = _once(df, _le_kind=F.when(F.regexp_like("_le_cell", F.lit(r"\A\s*\z")), 0).when(F.regexp_like("_le_cell", F.lit(_BOXES)), 1).when(F.col("_le_cell").isNotNull(), 2))
     # The numbers of a plain cell, all boxes in one list, cast in one go; then five of them to a box, each read once.
-    df = df.withColumn("_le_words", F.when(F.col("_le_plain"), F.split(F.trim(F.translate("_le_cell", ";\t", "  ")), " +")))
-    df = df.withColumn("_le_numbers", F.col("_le_words").try_cast("array<double>"))
+    df = _once(df, _le_words=F.when(F.col("_le_kind") == 1, F.split(F.trim(F.translate("_le_cell", ";\t", "  ")), " +")))
+    pixels = lambda name: F.when(took, F.col(f"_le_r_{name}").cast("double")).otherwise(cell[name].try_cast("double"))
+    df = _once(df, _le_numbers=F.col("_le_words").try_cast("array<double>"), _le_w=pixels("width"), _le_h=pixels("height"))
     at = lambda i, k: F.get("_le_numbers", i * 5 + k)
     places = F.sequence(F.lit(0), F.floor(F.size("_le_numbers") / 5).cast("int") - 1)
     box = lambda i: F.struct(*(at(i, k).alias(n) for k, n in enumerate("cxywh")), F.get("_le_words", i * 5).alias("text"))
-    df = df.withColumn("_le_boxes", F.when(F.col("_le_plain"), F.transform(places, box)))
-    digits = lambda name: F.when(F.col("_le_took"), F.col(f"_le_read.{name}")).otherwise(cell[name].try_cast("bigint"))
-    pixels = lambda name: F.when(F.col("_le_took"), F.col(f"_le_read.{name}").cast("double")).otherwise(cell[name].try_cast("double"))
-    df = df.withColumns({"_le_w": pixels("width"), "_le_h": pixels("height")})
+    df = _once(df, _le_boxes=F.when(F.col("_le_kind") == 1, F.transform(places, box)))
     faults = F.array_min(F.transform("_le_boxes", lambda b: _box_fault(b, F.col("_le_w"), F.col("_le_h"))))
-    shape = F.when(~F.col("_le_blank") & ~F.col("_le_plain"), box_faults(F.col("_le_cell")))
-    reason = F.coalesce("_le_row", shape, faults)
-    df = df.withColumn("reason", F.get(F.array(*map(F.lit, REASONS)), reason))
+    fault = F.coalesce("_le_row2", F.when(F.col("_le_kind") == 2, box_faults(F.col("_le_cell"))), faults)
+    df = _once(df, reason=F.get(F.array(*map(F.lit, REASONS)), fault))
 
     def typed(b: Column) -> Column:
         whole = F.coalesce(b["text"].try_cast("bigint"), F.when(F.abs(b["c"]) <= 2.0**53, b["c"].cast("bigint")))
@@ -137,12 +139,13 @@ def read_label_export(rows: DataFrame, raw: str = "raw") -> DataFrame:
     boxes = F.coalesce(F.transform("_le_boxes", typed), F.array().cast("array<struct<class_id:bigint,center_x:double,center_y:double,width:double,height:double>>"))
     unheld = F.when(F.exists("_le_boxes", lambda b: typed(b)["class_id"].isNull()), F.transform("_le_boxes", lambda b: F.when(typed(b)["class_id"].isNull(), b["text"])))
     errors = F.filter(F.transform(F.split(value("errors"), ";"), lambda e: F.trim(e)), lambda e: e != "")
+    digits = lambda name: F.when(took, F.col(f"_le_r_{name}")).otherwise(cell[name].try_cast("bigint"))
     long = lambda name: F.when(doubted & cell[name].try_cast("bigint").isNull(), cell[name]).alias(f"{name}_text")
     record = F.struct(
         value("label_path").alias("label_path"), digits("width").alias("width"), digits("height").alias("height"), boxes.alias("boxes"), errors.alias("errors"),
         value("annotator").alias("annotator"), F.col("_le_time").alias("exported_at"), value("note").alias("note"), long("width"), long("height"), unheld.alias("class_texts"),
     )
-    return df.withColumn("record", F.when(F.col("reason").isNull(), record)).select(*kept, "reason", "record", F.col("_le_read._corrupt_record").alias("_le_corrupt"))
+    return df.select(*kept, "reason", F.when(F.col("reason").isNull(), record).alias("record"), "_le_corrupt")
 
 
 def loaded(rows: DataFrame) -> DataFrame:
