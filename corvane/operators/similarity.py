@@ -1,40 +1,83 @@
-"""Near-equal hashes by a multi-index join, exact by the pigeonhole rule."""
+"""Near-equal hashes by lists of equal blocks, exact by the pigeonhole rule and as selective as the data need."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hamming, hash_parts
+from ..functions.hashing import hamming
 from ..session import cut
 from ..skew import salted_join
 
 
-def part_widths(max_distance: int, bits: int = 64) -> tuple[int, ...]:
-    """One part more than the differing bits allowed, so that one part at least is equal; wider parts first."""
-    n = max_distance + 1
-    return tuple(bits // n + (i < bits % n) for i in range(n))
+class Blocks(NamedTuple):
+    """``masks`` of the blocks a hash is cut into, and how many of them two near hashes have equal at least."""
+
+    masks: tuple[int, ...]
+    equal: int
+
+
+def block_plan(hashes: int, max_distance: int, bits: int = 64) -> Blocks:
+    """Blocks for so many distinct hashes: ``max_distance + k`` blocks, of which hashes that near have ``k`` equal.
+
+    k is the least for which the bits of k blocks tell as many values apart as
+    there are hashes. So a hash meets about one other in each list by chance,
+    however many there are, and candidates grow with the hashes and not with their
+    square. The result is the same for every k.
+    """
+    k = 1
+    while k < bits - max_distance and 2.0 ** (bits * k / (max_distance + k)) < hashes:
+        k += 1
+    n = max_distance + k
+    widths = [bits // n + (i < bits % n) for i in range(n)]
+    return Blocks(tuple(((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)), k)
+
+
+def _signed(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("bigint")
+
+
+def block_lists(hashes: DataFrame, name: str, plan: Blocks) -> DataFrame:
+    """Postings of the hashes in column ``name``, one for each choice of ``plan.equal`` blocks: (*, key, chosen, upto).
+
+    chosen has a bit for each block of the list, upto for each block up to its
+    last; key is the list. Two hashes in one list by a collision of keys are told
+    apart by ``first_equal``.
+    """
+    lists = [
+        F.struct(
+            _signed(sum(plan.masks[b] for b in blocks)).alias("mask"), F.lit(sum(1 << b for b in blocks)).cast("bigint").alias("chosen"),
+            F.lit((2 << blocks[-1]) - 1).cast("bigint").alias("upto"),
+        )
+        for blocks in combinations(range(len(plan.masks)), plan.equal)
+    ]
+    rows = hashes.select("*", F.explode(F.array(*lists)).alias("_list")).select(*hashes.columns, "_list.*")
+    return rows.withColumn("key", F.xxhash64("chosen", F.col(name).bitwiseAND(F.col("mask")))).drop("mask")
+
+
+def first_equal(g: Column, h: Column, plan: Blocks) -> Column:
+    """Whether the list (chosen, upto) is that of the first equal blocks of ``g`` and ``h``: each near pair has one such list."""
+    differ, equal = g.bitwiseXOR(h), F.lit(0).cast("bigint")
+    for b, mask in enumerate(plan.masks):
+        equal = equal.bitwiseOR(F.when(differ.bitwiseAND(_signed(mask)) == 0, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return equal.bitwiseAND(F.col("upto")) == F.col("chosen")
 
 
 def near_hash_pairs(left: DataFrame, right: DataFrame, max_distance: int, bits: int = 64) -> DataFrame:
     """(g, h, distance) of the distinct non-null hashes of ``left`` (h) and ``right`` (h), at most ``max_distance`` bits apart.
 
-    Each side is reduced to its distinct values first; equal hashes are a pair
-    with distance 0. A pair comes out of the list of its first equal part only.
+    Each side is reduced to its distinct values first and written once; equal
+    hashes are a pair with distance 0.
     """
-    widths = part_widths(max_distance, bits)
-
-    def lists(df: DataFrame, name: str) -> DataFrame:
-        h = df.filter("h is not null").select("h").distinct()
-        keys = [F.struct(F.lit(i).alias("i"), F.shiftleft(p, 5).bitwiseOR(F.lit(i).cast("bigint")).alias("part")) for i, p in enumerate(hash_parts(F.col("h"), widths))]
-        return h.select(F.col("h").alias(name), F.explode(F.array(*keys)).alias("p")).select(name, "p.i", "p.part")
-
-    differ = hash_parts(F.col("g").bitwiseXOR(F.col("h")), widths)
-    first = F.lit(True)
-    for k, p in enumerate(differ):
-        first = first & ((F.col("i") <= k) | (p != 0))
-    pairs = salted_join(lists(left, "g"), lists(right, "h").drop("i"), "part")
-    return pairs.filter(first).withColumn("distance", hamming(F.col("g"), F.col("h"))).filter(F.col("distance") <= max_distance).select("g", "h", "distance")
+    a = cut(left.filter("h is not null").select(F.col("h").cast("bigint").alias("g")).distinct())
+    b = a.select(F.col("g").alias("h")) if left is right else cut(right.filter("h is not null").select(F.col("h").cast("bigint").alias("h")).distinct())
+    plan = block_plan(max(a.count(), b.count()), max_distance, bits)
+    postings = block_lists(b, "h", plan).select("h", "key")
+    pairs = salted_join(block_lists(a, "g", plan), postings, "key").withColumn("distance", hamming(F.col("g"), F.col("h")))
+    return pairs.filter((F.col("distance") <= max_distance) & first_equal(F.col("g"), F.col("h"), plan)).select("g", "h", "distance")
 
 
 def near_images_across_splits(images: DataFrame, max_distance: int) -> DataFrame:

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import skew
+from corvane.operators import similarity
 from corvane.operators.components import star_components
 from corvane.operators.ordering import global_rank, running_totals
+from corvane.operators.similarity import near_hash_pairs
 from corvane.plans.profile import upper_median
 from corvane.session import bounded_values
 
@@ -52,3 +54,26 @@ def test_bounded_values_refuse_more(spark):
     assert bounded_values(df, "k", 5) == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
         bounded_values(df, "k", 4)
+
+
+def test_near_hash_lists_widen_with_the_hashes(spark):
+    """The same pairs from every plan, and candidates that grow with the hashes, not with their square."""
+    base = spark.range(300).select(F.xxhash64("id").alias("h"))
+    near = base.select(F.col("h").bitwiseXOR(F.lit(0b10001000100010001)).alias("h")).unionByName(base).unionByName(base.limit(5))
+    rows = [r["h"] for r in near.distinct().collect()]
+    want = {(g, h) for g in rows for h in rows if ((g ^ h) & (2**64 - 1)).bit_count() <= 5}
+    got = [(r["g"], r["h"]) for r in near_hash_pairs(near, near, 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    for k in (1, 2, 3):
+        plan = similarity.Blocks(similarity.block_plan(2 ** (64 * k // (5 + k)), 5).masks, k)
+        lists = similarity.block_lists(near.distinct().select(F.col("h").alias("g")), "g", plan)
+        pairs = lists.join(similarity.block_lists(near.distinct(), "h", plan).select("h", "key"), "key").filter(similarity.first_equal(F.col("g"), F.col("h"), plan))
+        pairs = pairs.filter(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= 5)
+        assert sorted((r["g"], r["h"]) for r in pairs.select("g", "h").collect()) == sorted(want)
+
+    def met(n):
+        h = spark.range(n).select(F.xxhash64(F.lit("r"), "id").alias("g"))
+        plan = similarity.block_plan(n, 5)
+        return similarity.block_lists(h, "g", plan).join(similarity.block_lists(h.select(F.col("g").alias("h")), "h", plan).select("h", "key"), "key").filter("g <> h").count() / n
+
+    assert met(64_000) < 4 * met(4_000)
