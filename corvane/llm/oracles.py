@@ -37,9 +37,9 @@ WITH docs AS (
     len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS tokens
   FROM documents),
 per AS (SELECT source, sum(tokens) AS tokens FROM docs GROUP BY 1),
-total AS (SELECT sum(tokens) AS n FROM docs)
-SELECT m.mix_id, m.source FROM mix_targets m LEFT JOIN per p ON p.source = lower(trim(m.source))
-WHERE m.max_repeats * coalesce(p.tokens, 0) * 1000000 < (SELECT n FROM total) * m.budget_permille * m.target_permille
+total AS (SELECT sum(tokens) AS n FROM docs),
+w AS (SELECT m.mix_id, m.source, (SELECT n FROM total) * m.budget_permille * m.target_permille AS micro, m.max_repeats * coalesce(p.tokens, 0) * 1000000 AS most
+  FROM mix_targets m LEFT JOIN per p ON p.source = lower(trim(m.source)))
 """
 
 _P1 = r"""
@@ -72,9 +72,11 @@ ORACLES: dict[str, str] = {
     "p1_found": _P1,
     "p3_found": _P3,
     "p2_found": _P2 + "SELECT plan_id, attr_id FROM report WHERE available < want",
+    "p2_report": _P2 + "SELECT plan_id, attr_id, available, want, least(available, want) AS taken, available < want AS short FROM report",
     "p4_found": _P4 + "SELECT DISTINCT least(train_id, image_id) AS left_image_id, greatest(train_id, image_id) AS right_image_id FROM pairs",
     "p4_report": _P4
     + """SELECT split, source, count(DISTINCT image_id) AS images, count(*) AS pairs, count(*) FILTER (same_content) AS same_content_pairs
          FROM pairs GROUP BY split, source""",
-    "p8_found": _P8,
+    "p8_found": _P8 + "SELECT mix_id, source FROM w WHERE most < micro",
+    "p8_targets": _P8 + "SELECT mix_id, source, round(micro / 1000000)::BIGINT AS want_tokens, most < micro AS short, most >= micro AS met FROM w",
 }

@@ -69,18 +69,34 @@ def target_plan(instances: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select("plan_id", "attr_id", "available", "want", F.least("want", "available").alias("take"), F.col("min_count").cast("bigint").alias("min_count"), share.alias("share_count"))
 
 
+#: The random start of a plan is a multiple of 1 / UNIT, so that crossings are decided in whole numbers.
+UNIT = 1 << 20
+
+
 def _start(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("plan_id")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("plan_id")), F.lit(UNIT))
+
+
+def _crossings(rank: Column) -> Column:
+    """How many whole numbers, counted from the start, the summed probabilities of a category have passed at ``rank``.
+
+    That is floor(rank x expected / available - start), exact at any size: decimals of 38 digits hold the product.
+    """
+    wide = lambda c, n: c.cast(f"decimal({n},0)")
+    there = F.greatest(F.col("available"), F.lit(1))
+    above = wide(rank, 13) * wide(F.col("expected"), 13) * F.lit(UNIT).cast("decimal(7,0)") - wide(F.col("u"), 7) * wide(there, 13) + wide(there, 13) * F.lit(UNIT).cast("decimal(7,0)")
+    return F.call_function("div", above, wide(there, 13) * F.lit(UNIT).cast("decimal(7,0)")).cast("bigint") - 1
 
 
 def proportional_sample(records: DataFrame, class_map: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
     """(sample, report).
 
     sample: (plan_id, attr_id, row_id, pos), without repetition within a plan.
-    report: (plan_id, attr_id, available, want, taken, short), short being true
-    where the category has fewer instances than wanted; such a category is taken
-    whole. Null instances, images without id and instances without category take
-    no part; empty tables give an empty sample and a report of what is short.
+    report: (plan_id, attr_id, available, want, taken, short), taken being counted
+    from the rows of the sample and short telling that they are fewer than wanted;
+    a category that falls short is taken whole. Null instances, images without id
+    and instances without category take no part; empty tables give an empty sample
+    and a report of what is short.
     """
     every = cut(instance_categories(records, class_map))
     plan = cut(target_plan(every, targets))
@@ -91,20 +107,18 @@ def proportional_sample(records: DataFrame, class_map: DataFrame, targets: DataF
     runs = keyed.groupBy("attr_id", "run").agg(F.count(F.lit(1)).alias("n"))
     offsets = runs.select("attr_id", "run", (F.sum("n").over(W.partitionBy("attr_id").orderBy("run")) - F.col("n")).alias("before"))
     place = W.partitionBy("attr_id", "run").orderBy(F.shiftleft("o", RUNS.bit_length() - 1), "row_id", "pos")
-    ranked = keyed.withColumn("k", F.row_number().over(place)).join(offsets, ["attr_id", "run"]).select("attr_id", "row_id", "pos", (F.col("before") + F.col("k")).alias("rank"))
-    # In sorted order of the categories the probabilities before a category sum to the shares before it.
-    sweep = plan.select("*", F.least(F.greatest("share_count", F.lit(0)), "available").alias("expected"))
-    before = F.sum("expected").over(W.partitionBy("plan_id").orderBy("attr_id")) - F.col("expected")
-    sweep = sweep.withColumn("base", before).withColumn("u", _start(seed))
-    passed = lambda r: F.floor(F.col("base") + r * F.col("expected") / F.greatest("available", F.lit(1)) - F.col("u"))
+    # at most RUNS rows a category of the targets
+    ranked = keyed.withColumn("k", F.row_number().over(place)).join(F.broadcast(offsets), ["attr_id", "run"]).select("attr_id", "row_id", "pos", (F.col("before") + F.col("k")).alias("rank"))
+    # In sorted order of the categories the probabilities before one sum to a whole number, the shares before it, so that number drops out.
+    sweep = plan.select("*", F.least(F.greatest("share_count", F.lit(0)), "available").alias("expected")).withColumn("u", _start(seed))
     drawn = ranked.join(F.broadcast(sweep), "attr_id")
-    upto = F.when(F.col("rank") == F.col("available"), F.floor(F.col("base") + F.col("expected") - F.col("u"))).otherwise(passed(F.col("rank")))
-    drawn = drawn.withColumn("taken_upto", upto - F.floor(F.col("base") - F.col("u")))
-    drawn = drawn.withColumn("picked", upto > passed(F.col("rank") - 1))
-    swept = F.floor(F.col("base") + F.col("expected") - F.col("u")) - F.floor(F.col("base") - F.col("u"))
+    drawn = drawn.withColumn("passed", _crossings(F.col("rank"))).withColumn("picked", F.col("passed") > _crossings(F.col("rank") - 1))
     # What a floor still lacks comes from the first instances that the sweep passed over.
-    lacking = F.greatest(F.col("take") - swept, F.lit(0))
-    filled = ~F.col("picked") & (F.col("rank") - F.col("taken_upto") <= lacking)
-    sample = drawn.filter(F.col("picked") | filled).select("plan_id", "attr_id", "row_id", "pos")
-    report = sweep.select("plan_id", "attr_id", "available", "want", F.greatest(swept, F.col("take")).alias("taken"), (F.col("available") < F.col("want")).alias("short"))
-    return sample, report
+    first = _crossings(F.lit(0))
+    lacking = F.greatest(F.col("take") - (_crossings(F.col("available")) - first), F.lit(0))
+    filled = ~F.col("picked") & (F.col("rank") - (F.col("passed") - first) <= lacking)
+    sample = cut(drawn.filter(F.col("picked") | filled).select("plan_id", "attr_id", "row_id", "pos"))
+    taken = sample.groupBy("plan_id", "attr_id").agg(F.count(F.lit(1)).alias("taken"))
+    # at most one row a target row
+    report = plan.join(F.broadcast(taken), ["plan_id", "attr_id"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return sample, report.select("plan_id", "attr_id", "available", "want", "taken", (F.col("taken") < F.col("want")).alias("short"))
