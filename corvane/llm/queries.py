@@ -66,7 +66,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.overlap_report(_overlaps(spark, d))
+    return overlaps.overlap_counts(table(spark, d, "same_release_split_leakage_audit"))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +102,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p8_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What each source was to give and whether it did, to a thousandth or to a document."""
+    report = _mix(spark, d)[1]
+    near = F.abs(F.col("got_tokens") - F.col("want_tokens")) <= F.greatest(F.col("want_tokens") / 1000, F.lit(500))
+    return report.select("mix_id", "source", "want_tokens", "short", near.alias("met"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "start_char", "end_char")
 

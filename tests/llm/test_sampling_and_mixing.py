@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from corvane.llm import mixing as X
 from corvane.llm import sampling as P
 
@@ -123,3 +125,39 @@ def test_p8_special_cases(spark):
     assert sorted(r["mix_id"] for r in report.collect()) == [1, 2] and {r["mix_id"] for r in report.filter("short").collect()} == {2}
     assert {r["doc_id"] for r in copies.collect()} == {5}
     assert X.mix_sources(docs.limit(0), t)[0].count() == 0 and X.mix_sources(docs, t.limit(0))[1].count() == 0
+
+
+def test_p8_newton_finds_tilts(spark):
+    """Equal rates miss every share; the solution's tilted rates, within the cap, meet it."""
+    rows = [(i, "w " * (1 + i * 7919 % 60), "big" if i % 4 else "small", 0, 0) for i in range(8000)]
+    docs = spark.createDataFrame(rows, DOC)
+    t = spark.createDataFrame([(1, "big", 300, 2, 500), (1, "small", 700, 3, 500)], MIX)
+    hist = X.document_sizes(docs).groupBy("source", "tokens").count().withColumnRenamed("count", "docs")
+    wants = X.mix_wants(hist, t)
+    tilts = {s: (cap, base, tilt, steps) for _, s, cap, base, tilt, steps in X.solve_tilts(hist, wants)}
+    want = {r["source"]: r["want"] for r in wants.collect()}
+    size = defaultdict(list)
+    for r in rows:
+        size[r[2]].append(len(r[1].split()))
+    assert tilts["big"][1] == tilts["small"][1] and tilts["big"][2] < 0 < tilts["small"][2]
+    for s, (cap, base, tilt, steps) in tilts.items():
+        mean = sum(size[s]) / len(size[s])
+        assert steps > 0 and abs(sum(min(cap, base) * n for n in size[s]) / want[s] - 1) > 0.2
+        assert abs(sum(min(cap, base * math.exp(tilt * n / mean)) * n for n in size[s]) / want[s] - 1) < 2e-4
+
+
+def test_p8_a_source_of_few_big_documents(spark):
+    """The threshold finds the nearest sum that the order of the draws allows, however few the documents."""
+    rows = [(i, "w " * 4000, "few", 0, 0) for i in range(5)] + [(100 + i, "w " * 10, "many", 0, 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, DOC)
+    for permille in (100, 300, 500, 700, 900):
+        t = spark.createDataFrame([(1, "few", permille, 1, 400), (1, "many", 1000 - permille, 2, 400)], MIX)
+        for r in X.mix_sources(docs, t)[1].filter("source = 'few'").collect():
+            assert abs(r["got_tokens"] - r["want_tokens"]) <= 2000
+
+
+def test_p8_no_solution_is_an_error(spark):
+    hist = spark.createDataFrame([("a", 3, 50), ("a", 90, 5)], "source string, tokens int, docs int")
+    wants = X.mix_wants(hist, spark.createDataFrame([(1, "a", 500, 2, 900), (1, "b", 500, 1, 900)], MIX))
+    with pytest.raises(RuntimeError):
+        X.solve_tilts(hist, wants, max_steps=1, tolerance=1e-9)
