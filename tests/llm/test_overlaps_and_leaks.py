@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from corvane.llm import leaks as L
 from corvane.llm import overlaps as O
 
@@ -119,3 +121,21 @@ def test_p7_special_cases(spark):
     assert found(spark, docs, []) == set() and found(spark, [], items) == set()
     report = L.leak_report(spark.createDataFrame([(1, 1, 70)], "doc_id bigint, item_id bigint, run int"), spark.createDataFrame([(1, "s", "en", "x"), (2, "s", "en", "x")], ITEM))
     assert sorted((r["item_id"], r["documents"]) for r in report.collect()) == [(1, 1), (2, 0)]
+
+
+def test_p4_bounds_drop_candidates_and_no_pair(spark):
+    """Residual norms drop candidates before their dot product is formed; none of those that reach the bound."""
+    h = spark.range(3000).select(F.xxhash64("id").alias("g"))
+    other = h.limit(400).select(F.col("g").bitwiseXOR(F.lit(0b1000010001)).alias("h")).unionByName(spark.range(3000).select(F.xxhash64(F.lit("x"), "id").alias("h")))
+    plan = O.block_plan(64, 5)
+    met = O.candidates(h, other, plan).withColumn("kept", O.reachable(5)).withColumn("near", O.dot_product(F.col("g"), F.col("h")) >= O.least(5)).cache()
+    assert met.filter("near").count() == met.filter("near and kept").count() == 400
+    assert met.filter("not kept").count() > 0.3 * met.count()
+    assert O.DIGEST - O.BITS >= O.least(0) and len(plan.masks) - plan.equal == 5
+
+
+def test_p4_counts_equal_the_listed_pairs(spark, data):
+    s = spark.read.parquet(f"{data}/same_release_split_leakage_audit.parquet")
+    listed, counted = O.overlap_report(O.cross_split_overlaps(s)), O.overlap_counts(s)
+    assert sorted(map(str, listed.collect())) == sorted(map(str, counted.collect())) and listed.count()
+    assert O.overlap_counts(s.limit(0)).count() == 0
