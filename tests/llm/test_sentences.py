@@ -50,6 +50,68 @@ def test_no_blank_between_and_odd_texts():
         assert "".join(odd[a:b] for a, b in spans).replace(" ", "") == "".join(odd.split())
 
 
+def threshold(s, text):
+    """The rule without spans: cut wherever closing and opening word alone speak for it."""
+    x = S.Text(text, 0)
+    return [e.at for e in s.ends(x) if e.score + s.opening(x.word(x.rest(e.at))) > 0]
+
+
+def test_whole_spans_decide_where_words_do_not():
+    s = S.Sentences(OPENERS)
+    short, long = "Harl Co. The form is here.", "The sheet was signed by the desk of Harl Co. The form is here."
+    assert threshold(s, short) == [8] and threshold(s, long) == [44]  # the words alone say the same of both
+    assert s.split(short) == [(0, 26)] and s.split(long) == [(0, 44), (45, 62)]
+    quoted = "‘Is it left? I see none!’ yunet asked the desk."
+    assert len(S.Sentences(OPENERS - {"yunet"}).split(quoted)) == 1 and len(S.Sentences(OPENERS - {"yunet"}).split("He said: " + quoted)) == 2
+
+
+def test_no_span_is_cut_for_its_length():
+    s = S.Sentences(OPENERS)
+    for text in ("word . x " * 3000, "see fig. no. 7 of vol. " * 4000):
+        assert len(s.split(text)) == 1
+    assert len(s.split("He left the room at once. " * 5000)) == 5000
+
+
+def test_the_best_spans_are_found_at_any_distance(monkeypatch):
+    """The carried best start gives what trying every start gives."""
+    import random
+
+    rng, s = random.Random(4), S.Sentences(OPENERS)
+    words = ["Harl", "Co.", "The", "No.", "etc.", "U.S.", "word", "longer", "1999.", "‘Stop!’", "...", "x", "No"]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(60)]
+    want = []
+    for t in texts:
+        x = S.Text(t, 0)
+        ends = [e for e in s.ends(x) if 0 < e.at < len(t)] + [S.End(len(t), S.SURE)]
+        starts = [0] + [x.rest(e.at) for e in ends[:-1]]
+        best = [0.0]
+        for j, e in enumerate(ends, 1):
+            def value(i, e=e):
+                whole = e.quote >= 0 and starts[i] == e.quote
+                return best[i] + (s.opening(x.word(starts[i])) if i else 0.0) + S.length_score(e.at - starts[i], e.score >= S.SURE) + e.score + (e.opened if whole else e.within)
+            best.append(max((value(i) for i in range(j) if starts[i] < e.at), default=float("-inf")))
+        want.append(best[-1])
+    got = []
+    for t in texts:
+        x, total = S.Text(t, 0), 0.0
+        ends = {e.at: e for e in s.ends(x)} | {len(t): S.End(len(t), S.SURE)}
+        for k, (a, b) in enumerate(s.spans(x)):
+            e = ends[b]
+            whole = e.quote >= 0 and a == e.quote
+            total += (s.opening(x.word(a)) if k else 0.0) + S.length_score(b - a, e.score >= S.SURE) + e.score + (e.opened if whole else e.within)
+        got.append(total)
+    assert got == pytest.approx(want)
+
+
+def test_unclosed_brackets_and_marks_take_linear_time():
+    import time
+
+    s, start = S.Sentences(OPENERS), time.time()
+    for text in ("( a " * 30_000, "a." * 60_000, '"a. ' * 20_000, "「あ。" * 20_000, "‘" * 40_000):
+        s.split(text)
+    assert time.time() - start < 30
+
+
 def test_null_empty_and_whole_table(spark, data):
     d = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "A b. C d.", 0), (3, "A b. C d.", 0)], "doc_id bigint, text string, start_char int")
     assert sorted(map(tuple, S.split_sentences(d).collect())) == [(3, 0, 0, 4)] * 2 + [(3, 1, 5, 9)] * 2
