@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.llm import leaks as L
@@ -139,3 +140,46 @@ def test_p4_counts_equal_the_listed_pairs(spark, data):
     listed, counted = O.overlap_report(O.cross_split_overlaps(s)), O.overlap_counts(s)
     assert sorted(map(str, listed.collect())) == sorted(map(str, counted.collect())) and listed.count()
     assert O.overlap_counts(s.limit(0)).count() == 0
+
+
+def test_p7_repeated_text_takes_linear_time():
+    """Alike windows of a document are looked at once: a text of equal letters costs what any other does."""
+    import time
+
+    import numpy as np
+
+    (blocks,) = L._item_blocks(iter([pd.DataFrame({"item_id": [1], "wide": [False], "text": ["a" * 5000]})]))
+    assert len(blocks) < 10
+    bits = 1 << 15
+    packed = {}
+    for column in ("first", "band"):
+        on = np.zeros(bits, np.uint8)
+        on[L.filter_bits(blocks[column].to_numpy(np.int64).view(np.uint64), bits)] = 1
+        packed[column] = {1: np.packbits(on, bitorder="little")}
+    sieve, took = L.Sieve(packed["first"], packed["band"], bits), []
+    for n in (200_000, 800_000):
+        start = time.time()
+        passed = sum(len(b) for _, _, b, _ in sieve.windows([L.kept_text("a" * n)]))
+        took.append(time.time() - start)
+        assert passed < 200 + n / 20
+    assert took[1] < 12 * took[0]
+
+
+def test_p7_short_items_have_longer_blocks():
+    """Of an item of any size every run of the length asked for holds a whole block of its partition."""
+    rng = random.Random(3)
+    for wide, run in ((False, 60), (True, 25)):
+        for n in (run, run * 5 // 4, run * 5 // 4 + 1, run * 3):
+            text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+            (rows,) = L._item_blocks(iter([pd.DataFrame({"item_id": [1], "wide": [wide], "text": [text]})]))
+            p = L.PARTS[rows["part"][0]]
+            blocks = [a[p.run : p.run + p.block] for a in rows["around"]]
+            assert all(any(b in text[a : a + run] for b in blocks) for a in range(n - run + 1)) and p.block >= run // 2
+
+
+def test_p7_many_items_read_the_corpus_once(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    items = [(i, "s", "en", text(rng.randrange(60, 140))) for i in range(3000)]
+    docs = [(k, text(50) + items[k * 7][3][-60:] + text(50), 0, 0) for k in range(300)] + [(900, text(4000), 0, 0)]
+    assert found(spark, docs, items) == {(k, k * 7) for k in range(300)}
