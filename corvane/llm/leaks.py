@@ -174,17 +174,18 @@ class Sieve:
         """(part, position of the document, band, surroundings) of what passes, alike ones of a document mostly once."""
         gap = max(p.run for p in PARTS)
         empty = np.zeros(gap, np.uint32)  # a code that is never kept: no block reaches across
-        codes = np.concatenate([x for d in docs for x in (empty, d)] + [empty])
-        starts = np.cumsum([0] + [len(d) + gap for d in docs])[:-1]
         longest = max(p.block for p in PARTS)
-        for a in range(gap, len(codes) - gap, SLICE):
+        codes = np.concatenate([x for d in docs for x in (empty, d)] + [empty, empty[:longest]])
+        starts = np.cumsum([0] + [len(d) + gap for d in docs])[:-1]
+        end = len(codes) - gap - longest  # where the last document ends
+        for a in range(gap, end, SLICE):
             own, minima, hashes = codes[a : a + SLICE + longest - 1], {}, {}
             for k in self.firsts:
                 p = PARTS[k]
                 if p.shingle not in hashes:
                     hashes[p.shingle] = shingles(own, p.shingle)
                     minima[p.shingle] = _Minima(_mix(hashes[p.shingle], _SEEDS[0]))
-                first = minima[p.shingle].over(p.block - p.shingle + 1)[:SLICE]
+                first = minima[p.shingle].over(p.block - p.shingle + 1)[: min(SLICE, end - a)]
                 at = np.flatnonzero(self._passes(self.firsts[k], first))
                 for c in range(0, len(at), CLOSE):
                     near = at[c : c + CLOSE]

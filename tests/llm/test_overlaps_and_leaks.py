@@ -183,3 +183,15 @@ def test_p7_many_items_read_the_corpus_once(spark):
     items = [(i, "s", "en", text(rng.randrange(60, 140))) for i in range(3000)]
     docs = [(k, text(50) + items[k * 7][3][-60:] + text(50), 0, 0) for k in range(300)] + [(900, text(4000), 0, 0)]
     assert found(spark, docs, items) == {(k, k * 7) for k in range(300)}
+
+
+def test_p7_filters_that_pass_all_lose_and_break_nothing():
+    """A full filter lets every window through, the last ones of a text too, each with its whole surroundings."""
+    import numpy as np
+
+    bits, full = 1 << 15, np.full(1 << 12, 255, np.uint8)
+    sieve = L.Sieve({k: full for k in range(len(L.PARTS))}, {k: full for k in range(len(L.PARTS))}, bits)
+    docs = [L.kept_text("abcdefghij" * 9), L.kept_text("x"), L.kept_text("klmnopqrst" * 8)]
+    for k, doc, _, around in sieve.windows(docs):
+        p = L.PARTS[k]
+        assert around.shape[1] == p.block + 2 * p.run and set(doc) == {0, 1, 2}
