@@ -69,23 +69,22 @@ def target_plan(instances: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select("plan_id", "attr_id", "available", "want", F.least("want", "available").alias("take"), F.col("min_count").cast("bigint").alias("min_count"), share.alias("share_count"))
 
 
-#: The random start of a plan is a multiple of 1 / UNIT, so that crossings are decided in whole numbers.
-UNIT = 1 << 20
-
-
 def _start(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("plan_id")), F.lit(UNIT))
+    """The one random start of a plan, in [0, 1)."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("plan_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def _crossings(rank: Column) -> Column:
     """How many whole numbers, counted from the start, the summed probabilities of a category have passed at ``rank``.
 
-    That is floor(rank x expected / available - start), exact at any size: decimals of 38 digits hold the product.
+    That is floor((rank x expected - start) / there), in whole numbers: the start is
+    taken in parts of 1 / there, and where a bigint may not hold the product a
+    decimal of 38 digits does.
     """
-    wide = lambda c, n: c.cast(f"decimal({n},0)")
-    there = F.greatest(F.col("available"), F.lit(1))
-    above = wide(rank, 13) * wide(F.col("expected"), 13) * F.lit(UNIT).cast("decimal(7,0)") - wide(F.col("u"), 7) * wide(there, 13) + wide(there, 13) * F.lit(UNIT).cast("decimal(7,0)")
-    return F.call_function("div", above, wide(there, 13) * F.lit(UNIT).cast("decimal(7,0)")).cast("bigint") - 1
+    there, start = F.col("there"), F.col("start")
+    passed = lambda r, e, a, u: F.call_function("div", r * e - u + a, a).cast("bigint") - 1
+    wide = lambda c: c.cast("decimal(18,0)")
+    return F.when(there < 1 << 31, passed(rank, F.col("expected"), there, start)).otherwise(passed(wide(rank), wide(F.col("expected")), wide(there), wide(start)))
 
 
 def proportional_sample(records: DataFrame, class_map: DataFrame, targets: DataFrame, seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -110,14 +109,19 @@ def proportional_sample(records: DataFrame, class_map: DataFrame, targets: DataF
     # at most RUNS rows a category of the targets
     ranked = keyed.withColumn("k", F.row_number().over(place)).join(F.broadcast(offsets), ["attr_id", "run"]).select("attr_id", "row_id", "pos", (F.col("before") + F.col("k")).alias("rank"))
     # In sorted order of the categories the probabilities before one sum to a whole number, the shares before it, so that number drops out.
-    sweep = plan.select("*", F.least(F.greatest("share_count", F.lit(0)), "available").alias("expected")).withColumn("u", _start(seed))
-    drawn = ranked.join(F.broadcast(sweep), "attr_id")
-    drawn = drawn.withColumn("passed", _crossings(F.col("rank"))).withColumn("picked", F.col("passed") > _crossings(F.col("rank") - 1))
-    # What a floor still lacks comes from the first instances that the sweep passed over.
-    first = _crossings(F.lit(0))
-    lacking = F.greatest(F.col("take") - (_crossings(F.col("available")) - first), F.lit(0))
-    filled = ~F.col("picked") & (F.col("rank") - (F.col("passed") - first) <= lacking)
-    sample = cut(drawn.filter(F.col("picked") | filled).select("plan_id", "attr_id", "row_id", "pos"))
+    there = F.greatest(F.col("available"), F.lit(1))
+    sweep = plan.select(
+        "plan_id", "attr_id", "available", "take", F.least(F.greatest("share_count", F.lit(0)), "available").alias("expected"), there.alias("there"),
+        F.least(F.floor(_start(seed) * there), there - 1).alias("start"),
+    )
+    # What a floor still lacks comes from the first instances that the sweep passes over.
+    sweep = sweep.withColumn("first", _crossings(F.lit(0).cast("bigint")))
+    sweep = sweep.withColumn("lacking", F.greatest(F.col("take") - (_crossings(F.col("available")) - F.col("first")), F.lit(0)))
+    drawn = ranked.join(F.broadcast(sweep), "attr_id").filter((F.col("expected") > 0) | (F.col("lacking") > 0))
+    drawn = drawn.select("plan_id", "attr_id", "row_id", "pos", "rank", "first", "lacking", _crossings(F.col("rank")).alias("passed"), _crossings(F.col("rank") - 1).alias("before"))
+    picked = F.col("passed") > F.col("before")
+    filled = ~picked & (F.col("rank") - (F.col("passed") - F.col("first")) <= F.col("lacking"))
+    sample = cut(drawn.filter(picked | filled).select("plan_id", "attr_id", "row_id", "pos"))
     taken = sample.groupBy("plan_id", "attr_id").agg(F.count(F.lit(1)).alias("taken"))
     # at most one row a target row
     report = plan.join(F.broadcast(taken), ["plan_id", "attr_id"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
