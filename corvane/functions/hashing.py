@@ -168,3 +168,49 @@ def brightness_contrast(values: Column) -> Column:
     var = total(F.transform(values, lambda v: (v - mean) * (v - mean))) / n
     share = lambda f: F.size(F.filter(values, f)) / n
     return F.struct(mean.alias("brightness"), F.sqrt(var).alias("contrast"), share(lambda v: v < 32).alias("dark"), share(lambda v: v > 223).alias("bright"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("laplacian_variance", T.DoubleType()), T.StructField("edge_density", T.DoubleType())]))
+def sharpness(values: pd.Series, columns: pd.Series, limit: pd.Series) -> pd.DataFrame:
+    """Of a flat grey grid with so many columns the variance of the Laplacian and the share of values whose gradient exceeds ``limit``.
+
+    Differences of neighbours, at the border mirrored without repeating it; nulls
+    of an empty or ragged grid. Grids of one shape are computed together.
+    """
+    out = np.full((len(values), 2), np.nan)
+    sizes = np.array([0 if v is None else len(v) for v in values])
+    for n, c, at in {(n, c, t) for n, c, t in zip(sizes.tolist(), columns, limit) if n and c and n % c == 0}:
+        rows = np.flatnonzero((sizes == n) & (columns.to_numpy() == c) & (limit.to_numpy() == at))
+        g = np.stack([np.asarray(values.iloc[k], float) for k in rows]).reshape(len(rows), n // c, c)
+        pad = np.pad(g, ((0, 0), (1, 1), (1, 1)), mode="reflect" if min(n // c, c) > 1 else "edge")
+        up, down, left, right = pad[:, :-2, 1:-1], pad[:, 2:, 1:-1], pad[:, 1:-1, :-2], pad[:, 1:-1, 2:]
+        out[rows, 0] = (up + down + left + right - 4 * g).var(axis=(1, 2))
+        out[rows, 1] = (np.hypot(right - left, down - up) > at).mean(axis=(1, 2))
+    return pd.DataFrame(out, columns=["laplacian_variance", "edge_density"]).astype(object).where(~np.isnan(out), None)
+
+
+def _cosines(n: int, low: int) -> np.ndarray:
+    """The first ``low`` rows of the orthonormal cosine transform of ``n`` values."""
+    k, x = np.arange(low)[:, None], np.arange(n)[None, :]
+    return np.sqrt(2 / n) * np.cos(np.pi * (2 * x + 1) * k / (2 * n)) * np.where(k == 0, np.sqrt(0.5), 1.0)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def low_frequencies(grid: pd.Series) -> pd.Series:
+    """The 8 x 8 lowest coefficients of the cosine transform of a flat 32 x 32 grey grid, row by row; null of any other size."""
+    out, c = pd.Series([None] * len(grid), dtype=object), _cosines(32, 8)
+    rows = [k for k, v in enumerate(grid) if v is not None and len(v) == 1024]
+    if rows:
+        g = np.stack([np.asarray(grid.iloc[k], float) for k in rows]).reshape(-1, 32, 32)
+        for k, f in zip(rows, (c @ g @ c.T).reshape(-1, 64)):
+            out.iloc[k] = f.tolist()
+    return out
+
+
+# The file suffix of an output by the format of its source, and of any other.
+SUFFIXES, OTHER_SUFFIX = {"JPEG": ".jpg", "PNG": ".png", "WEBP": ".webp"}, ".png"
+
+
+def output_suffix(source_format: Column) -> Column:
+    pairs = F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))
+    return F.coalesce(F.try_element_at(pairs, F.upper(source_format)), F.lit(OTHER_SUFFIX))

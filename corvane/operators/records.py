@@ -7,6 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.hashing import asset_key, video_group
+from ..session import cut
+from ..skew import lookup_join
+from .components import star_components
+from .ordering import global_rank
+from .similarity import near_hash_pairs
 
 #: A rules table has one row for each (provider, class) pair a caller configures; larger ones are refused.
 MAX_RULES = 10_000
@@ -113,3 +119,64 @@ def reject_reason(score: Column, area: Column, image_area: Column) -> Column:
 def keep_best(rows: DataFrame, key: str, best: list[Column]) -> DataFrame:
     """``rows`` with ``place`` by ``best`` within ``key``; the first is kept, others are duplicates."""
     return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*best)))
+
+
+def quarantine(records: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """``records`` without those whose ``key`` is listed; a listed key that no record has is an error."""
+    absent = [r[key] for r in listed.select(key).filter(F.col(key).isNotNull()).join(records.select(key), key, "left_anti").distinct().limit(5).collect()]
+    if absent:
+        raise ValueError(f"listed but absent: {absent}")
+    return records.join(listed.select(key).distinct(), key, "left_anti")
+
+
+def verify_artifacts(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, verdict) of each row of ``manifest`` (path, bytes, sha256) against ``files`` (path, content), as a binary file scan gives them.
+
+    verdict: ``missing``, ``size_differs``, ``digest_differs`` or ``ok``; letter case of the digest does not count.
+    """
+    found = files.select("path", F.octet_length("content").alias("_bytes"), F.sha2("content", 256).alias("_sha256"))
+    verdict = first_true(
+        ("missing", F.col("_bytes").isNull()), ("size_differs", F.col("_bytes") != F.col("bytes")),
+        ("digest_differs", F.col("_sha256") != F.lower("sha256")), ("ok", F.lit(True)),
+    )
+    return manifest.join(found, "path", "left").select("path", verdict.alias("verdict"))
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """``existing`` with the rows of ``incoming`` whose key it lacks, one row a key.
+
+    To deliver a row again changes nothing; the same key with another payload is
+    an error, raised where the rows are computed. Rows without a key are left out.
+    """
+    payload = [c for c in existing.columns if c != key]
+    rows = existing.unionByName(incoming.select(existing.columns)).filter(F.col(key).isNotNull())
+    digest = F.xxhash64(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
+    one = rows.withColumn("_d", digest).groupBy(key).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"), F.first(F.struct(*payload)).alias("_p"))
+    same = F.when(F.col("_lo") == F.col("_hi"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("two payloads for "), F.col(key).cast("string"))).cast(one.schema[key].dataType))
+    return one.select(same.alias(key), "_p.*").select(existing.columns)
+
+
+def related_groups(records: DataFrame, max_distance: int) -> DataFrame:
+    """(record_id, group_no, group_size): groups of ``records`` (record_id, image_path, image_sha256, phash), numbered from 1 by their least path.
+
+    Records are related, directly or through others, by an equal image_sha256, by
+    the asset or the video that image_path names, and by phash values at most
+    ``max_distance`` bits apart; nulls and empty names relate nothing. Each value is
+    a hub that its least record is linked to, so no list of pairs grows with a hot
+    value; repeated rows of a record count once.
+    """
+    x = cut(
+        records.groupBy("record_id").agg(F.min("image_path").alias("image_path"), F.max("image_sha256").alias("sha"), F.max("phash").alias("h"))
+        .withColumn("asset", F.nullif(asset_key(F.col("image_path")), F.lit(""))).withColumn("video", F.nullif(video_group(F.col("image_path")), F.lit("")))
+    )
+    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in ("sha", "asset", "video", "h"))))
+    members = x.select("record_id", F.explode(keys).alias("hub"))
+    hubs = members.groupBy("hub").agg(F.min("record_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub", "v")
+    links = lookup_join(members, hubs, "hub", "inner").select(F.col("record_id").alias("u"), "v")
+    ends = x.filter("h is not null").groupBy("h").agg(F.min("record_id").alias("r"))
+    near = near_hash_pairs(x, x, max_distance).filter("g < h").join(ends.toDF("g", "u"), "g").join(ends.toDF("h", "v"), "h").select("u", "v")
+    roots = star_components(links.unionByName(near)).withColumnRenamed("vertex", "record_id")
+    grouped = x.select("record_id", "image_path").join(roots, "record_id", "left").withColumn("root", F.coalesce("root", "record_id"))
+    groups = grouped.groupBy("root").agg(F.min("image_path").alias("path"), F.count(F.lit(1)).alias("group_size"))
+    ranked = global_rank(groups, [F.col("path").asc_nulls_last(), F.col("root")], "group_no")
+    return lookup_join(grouped.select("record_id", "root"), ranked.select("root", "group_no", "group_size"), "root", "inner").select("record_id", "group_no", "group_size")

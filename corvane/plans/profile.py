@@ -135,8 +135,8 @@ def sm1(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("sm1_weighted_draw", _WEIGHTS + """, c AS (SELECT image_id, sum(weight) OVER (ORDER BY image_id) AS hi, weight FROM sw),
-u AS (SELECT j AS draw, ('0x' || substr(md5('11:' || j), 1, 12))::BIGINT / 281474976710656::DOUBLE * (SELECT max(hi) FROM c) AS u FROM range(2000) t(j))
-SELECT draw, arg_min(image_id, hi) AS image_id FROM u JOIN c ON hi > u GROUP BY 1""")
+u AS (SELECT j AS draw, ('0x' || substr(md5('11:' || j), 1, 12))::BIGINT / 281474976710656::DOUBLE * (SELECT max(hi) FROM c) AS u FROM range((SELECT count(*) FROM sw)) t(j))
+SELECT draw, image_id FROM u ASOF JOIN c ON u.u < c.hi""")
 def sm1b(s: SparkSession, d: str) -> DataFrame:
     from ..operators.sampling import weighted_draw
 
@@ -196,8 +196,8 @@ def ag8b(s: SparkSession, d: str) -> DataFrame:
     return c.agg(F.round(F.sqrt(F.sum(part(p) + part(q))), 9).alias("jensen_shannon"))
 
 
-@query("ag18_bootstrap_interval", """WITH v AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_retailprice AS x, count(*) OVER () AS n FROM part WHERE p_size = 7),
-dr AS (SELECT b, j FROM range(200) t(b), range((SELECT any_value(n) FROM v)) u(j)),
+@query("ag18_bootstrap_interval", """WITH v AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS k, p_retailprice AS x, count(*) OVER () AS n FROM part),
+dr AS (SELECT b, j FROM range(1000) t(b), range((SELECT any_value(n) FROM v)) u(j)),
 ix AS (SELECT b, ('0x' || substr(md5('1337:' || b || ':' || j), 1, 12))::BIGINT % (SELECT any_value(n) FROM v) AS k FROM dr),
 m AS (SELECT b, avg(x) AS m FROM ix JOIN v USING (k) GROUP BY 1)
 SELECT round(quantile_cont(m, 0.025), 6) AS lower_95, round(quantile_cont(m, 0.975), 6) AS upper_95 FROM m""")
@@ -244,6 +244,42 @@ def ag22(s: SparkSession, d: str) -> DataFrame:
                   F.count_if((C("l_discount") > 0.09) | (C("l_tax") > 0.07)).alias("out_of_bounds")).withColumn("upper_median_ratio", F.round(F.lit(m), 6))
 
 
+@query("ag22_top_values", "SELECT l_suppkey AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def ag22b(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").groupBy(C("l_suppkey").alias("value")).agg(N().alias("n")).orderBy(F.desc("n"), "value").limit(20)
+
+
+_AUDIT = """WITH a AS (SELECT DISTINCT record_id, dataset_id, group_id, source_split, width, boxes, errors, annotation_qa, image_sha256 FROM audit_yolo_detection_dataset),
+b AS (SELECT unnest(boxes).class_id AS class_id, unnest(boxes).width * width AS pixels FROM a)"""
+
+
+@query("ag23_label_detail", _AUDIT + """ SELECT 'class' AS kind, class_id::VARCHAR AS key, count(*) AS n FROM b GROUP BY 2
+UNION ALL SELECT 'width', CASE WHEN pixels < 32 THEN 'tiny' WHEN pixels < 64 THEN 'small' WHEN pixels < 128 THEN 'medium' ELSE 'large' END, count(*) FROM b WHERE pixels IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'blocking', 'decode', count(*) FROM a WHERE width IS NULL UNION ALL SELECT 'blocking', 'labels', coalesce(sum(len(errors)), 0)::BIGINT FROM a
+UNION ALL SELECT 'blocking', 'groups', count(*) FROM (SELECT 1 FROM a WHERE group_id IS NOT NULL GROUP BY dataset_id, group_id HAVING count(DISTINCT source_split) > 1)""")
+def ag23b(s: SparkSession, d: str) -> DataFrame:
+    """Boxes by class and by width in pixels, and what blocks a release: undecodable images, label errors, groups across splits."""
+    a = cut(audit_records(s, d))
+    boxes = a.select(F.explode("boxes").alias("b"), "width").select("b.class_id", (C("b.width") * C("width")).alias("pixels"))
+    width = F.when(C("pixels") < 32, "tiny").when(C("pixels") < 64, "small").when(C("pixels") < 128, "medium").otherwise("large")
+    crossing = a.filter("group_id is not null").groupBy("dataset_id", "group_id").agg(F.count_distinct("source_split").alias("k")).filter("k > 1")
+    one = lambda df, kind, key, n: df.select(F.lit(kind).alias("kind"), key.alias("key"), n.alias("n"))
+    parts = [
+        one(boxes.groupBy("class_id").agg(N().alias("n")), "class", C("class_id").cast("string"), C("n")),
+        one(boxes.filter("pixels is not null").groupBy(width.alias("w")).agg(N().alias("n")), "width", C("w"), C("n")),
+        one(a.agg(F.count_if(C("width").isNull()).alias("n")), "blocking", F.lit("decode"), C("n")),
+        one(a.agg(F.coalesce(F.sum(F.when(C("errors").isNotNull(), F.size("errors"))), F.lit(0)).alias("n")), "blocking", F.lit("labels"), C("n")),
+        one(crossing.agg(N().alias("n")), "blocking", F.lit("groups"), C("n")),
+    ]
+    return union_all(parts)
+
+
+def audit_records(s: SparkSession, d: str) -> DataFrame:
+    """One row a record of the audit table; re-delivered rows have the same content."""
+    cols = ["record_id", "dataset_id", "group_id", "source_split", "width", "boxes", "errors", "annotation_qa", "image_sha256"]
+    return table(s, d, "audit_yolo_detection_dataset").select(*cols).dropDuplicates(["record_id"])
+
+
 @query("ag23_label_audit", """WITH a AS (SELECT DISTINCT record_id, source_split, width, boxes, errors FROM audit_yolo_detection_dataset)
 SELECT source_split, count(*) AS records, count(*) FILTER (len(boxes) > 0) AS positive, sum(len(boxes))::BIGINT AS boxes, sum(len(errors))::BIGINT AS errors, min(width) AS min_width, median(width) AS median_width FROM a GROUP BY 1""")
 def ag23(s: SparkSession, d: str) -> DataFrame:
@@ -267,6 +303,22 @@ def ag25(s: SparkSession, d: str) -> DataFrame:
     return a.groupBy("dataset_id", "group_id").agg(F.count_distinct("source_split").alias("splits"), F.count_distinct("record_id").alias("records")).filter("splits > 1")
 
 
+@query("ag25_manifest_quotas", """WITH a AS (SELECT * FROM audit_yolo_detection_dataset),
+q AS (SELECT count(*) AS n, count(*) FILTER (coalesce(len(boxes), 0) = 0) AS negative, count(*) FILTER (len(errors) > 0) AS difficult FROM a)
+SELECT 'repeated_id' AS rule, (SELECT count(*) FROM (SELECT record_id FROM a WHERE record_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS found, (SELECT count(*) FROM (SELECT record_id FROM a WHERE record_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) = 0 AS met
+UNION ALL SELECT 'repeated_hash', (SELECT count(*) FROM (SELECT 1 FROM a WHERE image_sha256 IS NOT NULL GROUP BY lower(image_sha256) HAVING count(*) > 1)), (SELECT count(*) FROM (SELECT 1 FROM a WHERE image_sha256 IS NOT NULL GROUP BY lower(image_sha256) HAVING count(*) > 1)) = 0
+UNION ALL SELECT 'size', n, n >= 2000 FROM q UNION ALL SELECT 'negative', negative, negative >= 0.25::DOUBLE * n FROM q UNION ALL SELECT 'difficult', difficult, difficult >= 0.25::DOUBLE * n FROM q""")
+def ag25b(s: SparkSession, d: str) -> DataFrame:
+    """Ids and digests that repeat, and whether the table has the size and the shares of negative and of difficult images asked for."""
+    a = table(s, d, "audit_yolo_detection_dataset").select("record_id", F.lower("image_sha256").alias("sha"), F.size("boxes").alias("boxes"), F.size("errors").alias("errors"))
+    repeats = lambda c: a.filter(C(c).isNotNull()).groupBy(c).agg(N().alias("k")).filter("k > 1").agg(N().alias("found"))
+    q = a.agg(N().alias("n"), F.count_if(~(F.coalesce("boxes", F.lit(0)) > 0)).alias("negative"), F.count_if(C("errors") > 0).alias("difficult"))
+    rules = [("size", C("n"), C("n") >= 2000), ("negative", C("negative"), C("negative") >= 0.25 * C("n")), ("difficult", C("difficult"), C("difficult") >= 0.25 * C("n"))]
+    rows = q.select(F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), f.alias("found"), m.alias("met")) for r, f, m in rules))))
+    counts = [repeats(c).select(F.lit(r).alias("rule"), "found", (C("found") == 0).alias("met")) for c, r in (("record_id", "repeated_id"), ("sha", "repeated_hash"))]
+    return union_all([rows, *counts])
+
+
 @query("ag26_split_summary", _INST + """, per AS (SELECT i.image_id, i.split, count(n.image_id) AS k FROM images i LEFT JOIN instances n ON n.image_id = i.image_id GROUP BY 1, 2)
 SELECT split, count(*) FILTER (k > 0) AS positive, count(*) FILTER (k = 0) AS negative, sum(k)::BIGINT AS instances FROM per GROUP BY 1""")
 def ag26(s: SparkSession, d: str) -> DataFrame:

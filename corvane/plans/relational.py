@@ -10,7 +10,7 @@ from ..functions.hashing import hash_rank
 from ..operators import sampling as S
 from ..operators.components import star_components
 from ..operators.ordering import global_rank, hash_sample
-from ..operators.records import keep_best
+from ..operators.records import keep_best, related_groups, upsert, verify_artifacts
 from ..operators.similarity import near_hash_pairs, near_images_across_splits
 from ..session import table
 from . import views as V
@@ -53,10 +53,12 @@ def jn4(s: SparkSession, d: str) -> DataFrame:
     return a.groupBy("image_sha256").agg(F.count_distinct("source_split").alias("splits"), F.count_distinct("record_id").alias("records")).filter("splits > 1")
 
 
-_SCAN = "x AS (SELECT DISTINCT phash, lower(trim(images.split)) AS split FROM same_release_split_leakage_audit WHERE phash IS NOT NULL AND images.split IS NOT NULL)"
+_SCAN = """x AS (SELECT DISTINCT images.image_id AS image_id, phash, lower(trim(images.split)) AS split, nullif(regexp_extract(lower(trim(sha256)), '^(?:sha256:)?([0-9a-f]{64})$', 1), '') AS sha
+FROM same_release_split_leakage_audit WHERE phash IS NOT NULL AND images.split IS NOT NULL)"""
 
 
-@query("jn5_near_hashes", f"WITH {_SCAN} SELECT a.phash AS g, b.phash AS h, bit_count(xor(a.phash, b.phash))::INT AS distance FROM x a JOIN x b ON a.split = 'train2017' AND b.split = 'val2017' AND bit_count(xor(a.phash, b.phash)) <= 5")
+@query("jn5_near_hashes", f"""WITH {_SCAN} SELECT a.image_id AS left_image_id, a.split AS left_split, b.image_id AS right_image_id, b.split AS right_split, a.phash AS g, b.phash AS h, bit_count(xor(a.phash, b.phash))::INT AS distance
+FROM x a JOIN x b ON a.split < b.split AND bit_count(xor(a.phash, b.phash)) <= 5 AND NOT coalesce(a.sha = b.sha, false) GROUP BY ALL""")
 def jn5(s: SparkSession, d: str) -> DataFrame:
     digits = F.regexp_extract(F.lower(F.trim("sha256")), "^(?:sha256:)?([0-9a-f]{64})$", 1)
     x = table(s, d, "same_release_split_leakage_audit").select(
@@ -95,11 +97,16 @@ def jn16(s: SparkSession, d: str) -> DataFrame:
     return checked.select("n_name", ok.cast("string").alias("r_name"))
 
 
-@query("jn17_artifact_verdict", """WITH m AS (SELECT l_orderkey AS k, count(*) AS expected FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN expected IS NULL THEN 'missing' WHEN expected <> 1 + o_orderkey % 7 THEN 'size_differs' ELSE 'ok' END AS verdict FROM orders LEFT JOIN m ON k = o_orderkey""")
+@query("jn17_artifact_verdict", """WITH m AS (SELECT 'p' || p_partkey AS path, length(p_name) + (p_partkey % 7 = 0)::INT AS bytes, CASE WHEN p_partkey % 11 = 0 THEN sha256(p_brand) ELSE upper(sha256(p_name)) END AS sha256 FROM part),
+f AS (SELECT 'p' || p_partkey AS path, p_name AS content FROM part WHERE p_partkey % 13 <> 0)
+SELECT m.path, CASE WHEN content IS NULL THEN 'missing' WHEN length(content) <> bytes THEN 'size_differs' WHEN sha256(content) <> lower(m.sha256) THEN 'digest_differs' ELSE 'ok' END AS verdict FROM m LEFT JOIN f USING (path)""")
 def jn17(s: SparkSession, d: str) -> DataFrame:
-    m = table(s, d, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(N().alias("expected"))
-    j = table(s, d, "orders").select("o_orderkey").join(m, "o_orderkey", "left")
-    return j.select("o_orderkey", F.when(C("expected").isNull(), "missing").when(C("expected") != 1 + C("o_orderkey") % 7, "size_differs").otherwise("ok").alias("verdict"))
+    """Contents of files against what a manifest says of their bytes and digests."""
+    p, path = table(s, d, "part"), F.concat(F.lit("p"), C("p_partkey").cast("string")).alias("path")
+    digest = F.when(C("p_partkey") % 11 == 0, F.sha2("p_brand", 256)).otherwise(F.upper(F.sha2("p_name", 256)))
+    manifest = p.select(path, (F.octet_length("p_name") + (C("p_partkey") % 7 == 0).cast("int")).alias("bytes"), digest.alias("sha256"))
+    files = p.filter("p_partkey % 13 <> 0").select(path, F.encode("p_name", "utf-8").alias("content"))
+    return verify_artifacts(manifest, files)
 
 
 @query("jn19_split_moves", "SELECT images.image_id AS image_id, count(DISTINCT lower(trim(images.split))) AS splits FROM same_release_split_leakage_audit WHERE images.split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lower(trim(images.split))) > 1")
@@ -221,6 +228,19 @@ def st8(s: SparkSession, d: str) -> DataFrame:
     return p.groupBy("image_id").agg(N().alias("deliveries"), (F.count_distinct(size) > 1).alias("conflict")).filter("deliveries > 1")
 
 
+@query("st8_upsert", """WITH x AS (SELECT record_id, max(image_path) AS image_path FROM audit_yolo_detection_dataset WHERE record_id IS NOT NULL GROUP BY 1) SELECT * FROM x""")
+def st8b(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "audit_yolo_detection_dataset").filter("record_id is not null").select("record_id", "image_path")
+    return upsert(a.filter("record_id % 3 = 0"), a, "record_id")
+
+
+@query("st6_related_groups")
+def st6b(s: SparkSession, d: str) -> DataFrame:
+    """Groups of records of equal content, asset or video or with near hashes, numbered by the least path of each."""
+    a = table(s, d, "audit_yolo_detection_dataset").filter("record_id is not null")
+    return related_groups(a.select("record_id", "image_path", "image_sha256", "phash"), 2)
+
+
 @query("sm2_negative_subsample", f"""WITH {V.INSTANCES_SQL}, r AS (SELECT i.image_id, count(n.image_id) = 0 AS negative FROM images i LEFT JOIN instances n ON n.image_id = i.image_id GROUP BY 1),
 p AS (SELECT round_even(count(*) * 0.005, 0) AS n FROM r WHERE NOT negative), q AS (SELECT *, row_number() OVER (PARTITION BY negative ORDER BY sha256('1337:' || image_id), image_id) AS k FROM r)
 SELECT image_id, negative FROM q WHERE NOT negative OR k <= (SELECT n FROM p)""")

@@ -86,8 +86,8 @@ def fn9(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("fn12_rle_spans", f"""WITH {V.INSTANCES_SQL}
-SELECT image_id, instance_id, x0 AS start, w AS length FROM instances WHERE instance_id <= 2
-UNION ALL SELECT image_id, instance_id, x0 + w + 5 AS start, h AS length FROM instances WHERE instance_id <= 2""")
+SELECT image_id, instance_id, x0 AS start, w AS length FROM instances
+UNION ALL SELECT image_id, instance_id, x0 + w + 5 AS start, h AS length FROM instances""")
 def fn12(s: SparkSession, d: str) -> DataFrame:
     runs = F.array(C("x0"), C("w"), F.lit(5), C("h"), F.lit(9))
     return V.instances(s, d).select("image_id", "instance_id", F.explode(H.rle_spans(runs, C("width"))).alias("s")).select("image_id", "instance_id", "s.start", "s.length")
@@ -163,10 +163,10 @@ def fn22(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("fn25_finite_number", """SELECT raw_id, CASE WHEN isfinite(n) THEN n END AS n FROM (
-  SELECT raw_id, TRY_CAST(split_part(raw, ',', 2) AS DOUBLE) AS n FROM yolo_label_export WHERE regexp_matches(split_part(raw, ',', 2), '^[-+0-9.eE]*$'))""")
+  SELECT raw_id, TRY_CAST(split_part(raw, ',', 2) AS DOUBLE) AS n FROM yolo_label_export)""")
 def fn25(s: SparkSession, d: str) -> DataFrame:
     cell = F.split_part(C("raw"), F.lit(","), F.lit(2))
-    return table(s, d, "yolo_label_export").filter(cell.rlike("^[-+0-9.eE]*$")).select("raw_id", H.finite_number(cell).alias("n"))
+    return table(s, d, "yolo_label_export").select("raw_id", H.finite_number(cell).alias("n"))
 
 
 @query("fn26_valid_interval", """SELECT l_linenumber, count(*) FILTER (l_discount <= l_tax AND l_tax <= 0.06) AS valid, count(*) AS n FROM lineitem GROUP BY 1""")
@@ -202,26 +202,56 @@ def fn31(s: SparkSession, d: str) -> DataFrame:
     return V.instances(s, d).select("image_id", "instance_id", F.aggregate(p, F.lit(0), lambda a, b: a + b).alias("coordinate_sum"))
 
 
-@query("fn11_mask_iou", f"""WITH {V.INSTANCES_SQL}, m AS (SELECT image_id, instance_id, w, h, least(w, h) AS i FROM instances WHERE instance_id <= 2)
+@query("fn11_mask_iou", f"""WITH {V.INSTANCES_SQL}, m AS (SELECT image_id, instance_id, w, h FROM instances)
 SELECT image_id, instance_id, round(least(w, h) / greatest(w, h)::DOUBLE, 9) AS iou FROM m""")
 def fn11(s: SparkSession, d: str) -> DataFrame:
     mask = lambda n: F.array(F.lit(5), n, F.lit(1000) - n)
     return V.instances(s, d).select("image_id", "instance_id", F.round(H.mask_iou(mask(C("w")), mask(C("h"))), 9).alias("iou"))
 
 
-@query("fn16_difference_hash", """SELECT vec_id, list_sum(list_transform(range(0, 56), lambda k: CASE WHEN embedding[(k // 7) * 8 + k % 7 + 2] > embedding[(k // 7) * 8 + k % 7 + 1] THEN 1::BIGINT << (55 - k)::INT ELSE 0 END))::BIGINT AS h FROM embeddings""")
+@query("fn16_difference_hash", """WITH e AS (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS v FROM embeddings),
+b AS (SELECT vec_id, list_transform(range(0, 64), lambda k: v[(k // 8) * 9 + k % 8 + 2] > v[(k // 8) * 9 + k % 8 + 1]) AS b FROM e)
+SELECT vec_id, list_sum(list_transform(range(1, 64), lambda k: CASE WHEN b[k + 1] THEN 1::BIGINT << (63 - k)::INT ELSE 0 END))::BIGINT AS low63, b[1] AS top FROM b""")
 def fn16(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").select("vec_id", H.difference_hash(C("embedding"), 8, 8).alias("h"))
+    # 72 values, a grid of 8 x 9: the 64 of the vector and its first eight again
+    h = H.difference_hash(F.concat("embedding", F.slice("embedding", 1, 8)))
+    return table(s, d, "embeddings").select("vec_id", h.alias("h")).select("vec_id", C("h").bitwiseAND(F.lit((1 << 63) - 1)).alias("low63"), (C("h") < 0).alias("top"))
 
 
-@query("fn24_pixel_digest", """SELECT p_partkey, sha256(unhex('0300000000000000' || '0100000000000000')::BLOB || unhex(hex(substr(p_name, 1, 3)))::BLOB) AS digest FROM part""")
+@query("fn24_pixel_digest", """SELECT p_partkey, sha256(unhex(lpad(hex(chr(length(p_name)::INT)), 2, '0') || '00000000000000' || '0100000000000000')::BLOB || encode(p_name)) AS digest FROM part""")
 def fn24(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").select("p_partkey", H.pixel_digest(F.lit(3), F.lit(1), F.encode(F.substring("p_name", 1, 3), "utf-8")).alias("digest"))
+    pixels = F.encode("p_name", "utf-8")
+    return table(s, d, "part").select("p_partkey", H.pixel_digest(F.octet_length(pixels), F.lit(1), pixels).alias("digest"))
+
+
+_GRID = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: (floor(abs(e::DOUBLE) * 1000) % 256)::DOUBLE) AS g FROM embeddings)"""
 
 
-@query("fn33_image_quality", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(abs(e::DOUBLE) * 1000) % 256) AS g FROM embeddings)
-SELECT vec_id, round(list_avg(g), 6) AS brightness, round(list_stddev_pop(g), 6) AS contrast, len(list_filter(g, lambda x: x < 32)) / 64::DOUBLE AS dark FROM v""")
+@query("fn33_image_quality", _GRID + """,
+m AS (SELECT vec_id, g, list_transform(range(0, 10), lambda k: CASE k WHEN 0 THEN 1 WHEN 9 THEN 6 ELSE k - 1 END) AS p FROM v),
+l AS (SELECT vec_id, g, list_transform(range(0, 64), lambda k: g[p[k // 8 + 1] * 8 + k % 8 + 1] + g[p[k // 8 + 3] * 8 + k % 8 + 1] + g[(k // 8) * 8 + p[k % 8 + 1] + 1] + g[(k // 8) * 8 + p[k % 8 + 3] + 1] - 4 * g[k + 1]) AS lap,
+  list_transform(range(0, 64), lambda k: sqrt(pow(g[(k // 8) * 8 + p[k % 8 + 3] + 1] - g[(k // 8) * 8 + p[k % 8 + 1] + 1], 2) + pow(g[p[k // 8 + 3] * 8 + k % 8 + 1] - g[p[k // 8 + 1] * 8 + k % 8 + 1], 2))) AS grad FROM m)
+SELECT vec_id, round(list_avg(g), 6) AS brightness, round(list_stddev_pop(g), 6) AS contrast, len(list_filter(g, lambda x: x < 32)) / 64::DOUBLE AS dark, len(list_filter(g, lambda x: x > 223)) / 64::DOUBLE AS bright,
+  round(list_var_pop(lap), 6) AS laplacian_variance, len(list_filter(grad, lambda x: x > 100)) / 64::DOUBLE AS edge_density FROM l""")
 def fn33(s: SparkSession, d: str) -> DataFrame:
     grey = F.transform("embedding", lambda e: (F.floor(F.abs(e.cast("double")) * 1000) % 256).cast("double"))
-    q = table(s, d, "embeddings").select("vec_id", H.brightness_contrast(grey).alias("q"))
-    return q.select("vec_id", F.round("q.brightness", 6).alias("brightness"), F.round("q.contrast", 6).alias("contrast"), C("q.dark").alias("dark"))
+    q = table(s, d, "embeddings").select("vec_id", H.brightness_contrast(grey).alias("q"), H.sharpness(grey, F.lit(8), F.lit(100.0)).alias("e"))
+    return q.select(
+        "vec_id", F.round("q.brightness", 6).alias("brightness"), F.round("q.contrast", 6).alias("contrast"), C("q.dark").alias("dark"), C("q.bright").alias("bright"),
+        F.round("e.laplacian_variance", 6).alias("laplacian_variance"), C("e.edge_density").alias("edge_density"))
+
+
+@query("fn14_frequency_hash")
+def fn14b(s: SparkSession, d: str) -> DataFrame:
+    """The hash of a 32 x 32 grey grid, each value the sum of two of the vector's."""
+    e = lambda k: F.get("embedding", k).cast("double")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: e(F.floor(k / 32).cast("int")) * 100 + e(32 + k % 32) * 37 + e(k % 64))
+    low = H.low_frequencies(grid)
+    return table(s, d, "embeddings").select("vec_id", low.alias("f")).select("vec_id", H.bits_lsb_first(C("f")).alias("lsb"), H.bits_msb_first(C("f")).alias("msb"))
+
+
+@query("fn29_output_suffix", """SELECT p_partkey, CASE upper(f) WHEN 'JPEG' THEN '.jpg' WHEN 'PNG' THEN '.png' WHEN 'WEBP' THEN '.webp' ELSE '.png' END AS suffix
+FROM (SELECT p_partkey, (['JPEG', 'png', 'WebP', 'MPO', NULL])[1 + p_size % 5] AS f FROM part)""")
+def fn29(s: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*(F.lit(k) for k in ("JPEG", "png", "WebP", "MPO", None)))
+    return table(s, d, "part").select("p_partkey", H.output_suffix(F.get(kinds, C("p_size") % 5)).alias("suffix"))
