@@ -256,7 +256,13 @@ def sm3(s: SparkSession, d: str) -> DataFrame:
     return S.validation_groups(table(s, d, "orders").select(C("o_custkey").alias("grp")), "grp", 0.2, 9)
 
 
-@query("sm4_balanced_groups")
+@query("sm4_balanced_groups", """WITH RECURSIVE g AS (SELECT o_custkey::VARCHAR AS grp, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1),
+t AS (SELECT round_even(sum(n) * 0.15::DOUBLE, 0) AS t, sum(n) AS total FROM g), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('5:' || grp)) AS k FROM g),
+c AS (SELECT o.*, greatest(t.t, 1) AS tt, greatest(t.total - 2 * t.t, 1) AS tr FROM o, t),
+r AS (SELECT 0::BIGINT AS k, 0::DOUBLE AS test, 0::DOUBLE AS val, 0::DOUBLE AS train, NULL::VARCHAR AS split
+  UNION ALL SELECT k, test + n * (s = 'test')::INT, val + n * (s = 'val')::INT, train + n * (s = 'train')::INT, s FROM (SELECT c.k, c.n, r.test, r.val, r.train,
+    list_sort([{'f': r.test / c.tt, 'h': sha256('5:' || c.grp || ':test'), 's': 'test'}, {'f': r.val / c.tt, 'h': sha256('5:' || c.grp || ':val'), 's': 'val'}, {'f': r.train / c.tr, 'h': sha256('5:' || c.grp || ':train'), 's': 'train'}])[1].s AS s FROM r JOIN c ON c.k = r.k + 1))
+SELECT c.grp, c.n, r.split FROM r JOIN c USING (k)""")
 def sm4(s: SparkSession, d: str) -> DataFrame:
     return S.balanced_groups(table(s, d, "orders").select(C("o_custkey").alias("grp")), "grp", 5, 0.15, 0.15)
 
