@@ -88,20 +88,23 @@ def _attach(labels: DataFrame | None, removed: DataFrame, rows: int) -> DataFram
     return cut(reduce(DataFrame.unionByName, [labels, found.select("vertex", F.coalesce("known", "parent").alias("root")), roots]))
 
 
-def reduced_components(edges: DataFrame, max_rounds: int = 40, small_step: float = 0.1) -> DataFrame:
+def reduced_components(edges: DataFrame, max_rounds: int = 200, small_step: float = 0.1) -> DataFrame:
     """(vertex, root) of every vertex in ``edges`` (u, v), equal roots for vertices linked directly or not.
 
     Vertices may be of any orderable type. Null and self links relate nothing
     and repeated or reversed links count once; vertices without a link do not
     come out. ``root`` is one vertex of the component, not always the smallest.
-    Rounds go on while they remove more than ``small_step`` of the edges that
-    are left; the rest is solved as the core, so the bound only decides how the
-    work is divided, never the result.
+    Rounds go on while they remove more than ``small_step`` of the edges that are
+    left, with 0 until nothing is left to strip; star contraction solves the rest
+    as the core, so the bound decides how the work is divided, never the result.
+    More than ``max_rounds`` rounds are an error.
     """
     left = cut(_canonical(edges))
     total = n = left.count()
     first, later, later_rows, rounds = None, [], 0, 0
-    while n and rounds < max_rounds:
+    while n:
+        if rounds == max_rounds:
+            raise RuntimeError(f"leaves or chains left after {max_rounds} rounds")
         left, leaves = strip_leaves(left)
         if first is None:
             first = leaves
@@ -136,8 +139,8 @@ def match_links(matches: DataFrame, records: DataFrame, max_distance: int) -> Da
         .filter((F.col("match_kind") == "sha256") | ((F.col("match_kind") == "phash") & (F.coalesce("phash_distance", F.lit(0)) <= max_distance)))
         .select("left_record_id", "right_record_id", "match_kind", "phash_distance").distinct()
     )
-    pairs = pairs.join(known.toDF("left_record_id", "left_hash"), "left_record_id")
-    pairs = pairs.join(known.toDF("right_record_id", "right_hash"), "right_record_id")
+    pairs = lookup_join(pairs, known.toDF("left_record_id", "left_hash"), "left_record_id", "inner")
+    pairs = lookup_join(pairs, known.toDF("right_record_id", "right_hash"), "right_record_id", "inner")
     differing = F.bit_count(F.col("left_hash").bitwiseXOR(F.col("right_hash")))
     near = F.coalesce(F.col("phash_distance"), differing) <= max_distance
     return pairs.filter((F.col("match_kind") == "sha256") | near).select(F.col("left_record_id").alias("u"), F.col("right_record_id").alias("v"))

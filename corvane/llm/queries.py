@@ -106,7 +106,7 @@ def p8_targets(spark: SparkSession, d: str) -> DataFrame:
     """What each source was to give and whether it did, to a thousandth or to a document."""
     report = _mix(spark, d)[1]
     near = F.abs(F.col("got_tokens") - F.col("want_tokens")) <= F.greatest(F.col("want_tokens") / 1000, F.lit(500))
-    return report.select("mix_id", "source", "want_tokens", "short", near.alias("met"))
+    return report.select("mix_id", "source", "want_tokens", "short", (near & ~F.col("short")).alias("met"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

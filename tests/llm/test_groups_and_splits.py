@@ -3,8 +3,11 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from corvane.llm import groups as G
 from corvane.llm import splits as S
+from corvane.llm.groups import reduced_components
 
 
 class Union:
@@ -142,3 +145,18 @@ def test_large_components_are_balanced(spark):
     t = spark.createDataFrame([(1, "train", 600), (1, "val", 400)], "plan_id int, split string, target_permille int")
     report = {r["split"]: r["share_permille"] for r in S.split_report(S.group_safe_splits(audit(spark, rows), t), audit(spark, rows), t).collect()}
     assert abs(report["train"] - 600) < 10 and abs(report["val"] - 400) < 10
+
+
+def test_reduction_to_the_bare_core_gives_the_same(spark):
+    """Stripped until nothing is left to strip, or until it hardly pays: the same components; rounds beyond the bound are an error."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (102, 40), (200, 201), (300, 300), (7, 500)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    parts = []
+    for step in (0.0, 0.1):
+        by = {}
+        for r in reduced_components(df, small_step=step).collect():
+            by.setdefault(r["root"], set()).add(r["vertex"])
+        parts.append(sorted(map(sorted, by.values())))
+    assert parts[0] == parts[1] == sorted([sorted({*range(41), 100, 101, 102, 500}), [200, 201]])
+    with pytest.raises(RuntimeError):
+        reduced_components(df, max_rounds=1, small_step=0.0)
