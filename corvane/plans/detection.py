@@ -264,7 +264,7 @@ def quota_pick(candidates: list, quota: int, quota_until: int, most: int) -> lis
 
 
 @query("wn9_review_list", f"""WITH RECURSIVE {V.EVIDENCE_SQL}, low AS (SELECT * FROM (SELECT image_id, class_id, evidence_id, confidence, row_number() OVER (PARTITION BY class_id ORDER BY confidence, evidence_id) AS j FROM evidence) WHERE j <= 108),
-c AS (SELECT *, row_number() OVER (ORDER BY confidence, evidence_id) AS k FROM low),
+c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY confidence, evidence_id) AS k FROM low),
 r AS (SELECT 0::BIGINT AS k, []::STRUCT(i BIGINT, c INT, e VARCHAR)[] AS s
   UNION ALL SELECT c.k, CASE WHEN len(s) < 12 AND len(list_filter(s, lambda x: x.i = c.image_id)) = 0 AND (len(s) >= 10 OR len(list_filter(s, lambda x: x.c = c.class_id)) < 3) THEN list_append(s, {{'i': c.image_id, 'c': c.class_id, 'e': c.evidence_id}}) ELSE s END FROM r JOIN c ON c.k = r.k + 1),
 f AS (SELECT s FROM r ORDER BY k DESC LIMIT 1), u AS (SELECT unnest(s) AS x, generate_subscripts(s, 1) AS place FROM f)
@@ -278,7 +278,7 @@ def wn9(s: SparkSession, d: str) -> DataFrame:
 
 @query("wn10_middle_records", f"""WITH RECURSIVE {V.INSTANCES_SQL}, per AS (SELECT split, class_id, image_id, count(*) AS k FROM instances GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY split, class_id ORDER BY k, image_id) AS r, count(*) OVER (PARTITION BY split, class_id) AS n FROM per),
-c AS (SELECT split, class_id, image_id, row_number() OVER (ORDER BY split, class_id, r) AS j FROM o WHERE r > n // 2 AND r <= n // 2 + 6),
+c AS MATERIALIZED (SELECT split, class_id, image_id, row_number() OVER (ORDER BY split, class_id, r) AS j FROM o WHERE r > n // 2 AND r <= n // 2 + 6),
 s AS (SELECT 0::BIGINT AS j, []::STRUCT(s VARCHAR, c INT, i BIGINT)[] AS s
   UNION ALL SELECT c.j, CASE WHEN len(list_filter(s.s, lambda x: x.s = c.split)) < 5 AND len(list_filter(s.s, lambda x: x.s = c.split AND (x.c = c.class_id OR x.i = c.image_id))) = 0 THEN list_append(s.s, {{'s': c.split, 'c': c.class_id, 'i': c.image_id}}) ELSE s.s END FROM s JOIN c ON c.j = s.j + 1),
 f AS (SELECT s FROM s ORDER BY j DESC LIMIT 1) SELECT x.s AS split, x.c AS class_id, x.i AS image_id FROM (SELECT unnest(s) AS x FROM f)""")
