@@ -4,28 +4,32 @@ Records are related by shared keys; the related sets are the components of the
 graph of keys. Whole components are then assigned: from a hashed start, moves of
 one component and exchanges of two are tried by simulated annealing in parallel
 chains, and the best state seen is kept. Components that hold a large part of
-the rows are placed first, over all of them at once; the others in blocks that
-each aim at their share of what is then missing.
+the rows are placed first, over all of them at once; the others in blocks, each
+chain of a block being a task of its own. After a sweep the components are dealt
+into other blocks, which then take their part of the deviation left over all, so
+that components of different blocks change places too.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import bounded_values, cut
 from ..skew import lookup_join
 from .groups import reduced_components
 
 #: A component with 1/LARGE of all records or more is placed first: at most LARGE of them.
 LARGE = 512
-#: Components a block holds on average; label classes told apart, the rest counting as one.
-BLOCK, LABELS = 4096, 12
+#: Components a block holds on average, and sweeps over all blocks.
+BLOCK, SWEEPS = 4096, 3
+#: Label classes, each with its own deviation; more are refused, never lumped together.
+MOST_LABELS = 512
 UNKNOWN_GROUPS = ("", "unknown", "none", "n-a")
 
 
@@ -102,14 +106,21 @@ def _anneal(sizes: np.ndarray, aims: np.ndarray, start: np.ndarray, seed: int, s
     return best, kept
 
 
-def _best(sizes: np.ndarray, aims: np.ndarray, share: np.ndarray, starts: np.ndarray, seed: int, chains: int) -> np.ndarray:
-    start = np.minimum(np.searchsorted(np.cumsum(share), starts, side="right"), len(share) - 1)
-    steps = 3000 + len(sizes) // 4
-    return min((_anneal(sizes, aims, start, seed + c, steps) for c in range(chains)), key=lambda x: x[0])[1]
+def _whole_parts(parts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """``parts`` (splits x measures) in whole numbers with the same sums, each rounded up or down at random by what it lacks.
+
+    Were every block to aim at a tenth of a rare label, none would give it away;
+    so one block in ten aims at a whole one.
+    """
+    ends = np.cumsum(parts, axis=0)
+    ends[-1] = np.rint(ends[-1])
+    draw = rng.random(parts.shape[1])
+    return np.diff(np.floor(ends + draw + 1e-9), axis=0, prepend=np.floor(draw + 1e-9)[None, :])
 
 
-def _aims(total: np.ndarray, placed: dict[int, np.ndarray], plans: dict[int, list[tuple[str, float]]]) -> dict[int, np.ndarray]:
-    return {p: np.maximum(np.outer([s for _, s in splits], total) - placed.get(p, 0), 0) for p, splits in plans.items()}
+def _hashed(share: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The split in which each uniform draw falls."""
+    return np.minimum(np.searchsorted(np.cumsum(share), draws, side="right"), len(share) - 1)
 
 
 def group_safe_splits(audit: DataFrame, targets: DataFrame, chains: int = 2, seed: int = 11) -> DataFrame:
@@ -125,12 +136,10 @@ def group_safe_splits(audit: DataFrame, targets: DataFrame, chains: int = 2, see
     """
     spark = audit.sparkSession
     records = related_records(audit)
-    top = records.select(F.explode("labels").alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").limit(LABELS)
-    classes = [r["c"] for r in top.collect()]
-    of = lambda keep: F.sum(F.size(F.filter("labels", keep)))
-    counts = [of(lambda x, c=c: x == c).alias(f"m{i}") for i, c in enumerate(classes, 1)]
-    counts.append(of(lambda x: ~x.isin(classes) if classes else F.lit(True)).alias(f"m{len(classes) + 1}"))
-    names = [f"m{i}" for i in range(len(classes) + 2)]
+    classes = bounded_values(records.select(F.explode("labels").alias("label")), "label", MOST_LABELS)
+    of = lambda c: F.sum(F.size("labels") - F.size(F.array_remove("labels", c)))
+    counts = [of(c).alias(f"m{i}") for i, c in enumerate(classes, 1)]
+    names = [f"m{i}" for i in range(len(classes) + 1)]
     sets = cut(
         records.groupBy("component").agg(
             F.count(F.lit(1)).alias("m0"), *counts, (F.min("source_split") < F.max("source_split")).alias("crosses")
@@ -157,7 +166,7 @@ def group_safe_splits(audit: DataFrame, targets: DataFrame, chains: int = 2, see
                 for k in pdf["id"]:
                     p, c = tries[k]
                     share = np.array([s for _, s in plans[p]])
-                    start = np.minimum(np.searchsorted(np.cumsum(share), draws[p], side="right"), len(share) - 1)
+                    start = _hashed(share, draws[p])
                     cost, at = _anneal(sizes, np.outer(share, total) * (sizes.sum(axis=0) / np.maximum(total, 1)), start, seed + c, 20_000)
                     yield pd.DataFrame({"k": [k], "cost": [cost], "at": [at.tolist()]})
 
@@ -167,23 +176,13 @@ def group_safe_splits(audit: DataFrame, targets: DataFrame, chains: int = 2, see
             placed[p] = np.zeros((len(splits), len(names)))
             np.add.at(placed[p], at, sizes)
             fixed += [(c, p, splits[s][0]) for c, s in zip(large["component"], at)]
-    aims = _aims(total, placed, plans)
-    blocks = max(1, math.ceil(n_sets / BLOCK))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("component", ignore_index=True)
-        sizes, out = pdf[names].to_numpy(float), []
-        for p, splits in plans.items():
-            share = aims[p] / np.maximum(aims[p].sum(axis=0), 1e-9)
-            start_share = share[:, 0] if share[:, 0].sum() > 0 else np.array([s for _, s in splits])
-            at = _best(sizes, share * sizes.sum(axis=0), start_share, pdf[f"u{p}"].to_numpy(), seed + int(pdf["block"][0]), chains)
-            out.append(pd.DataFrame({"component": pdf["component"], "plan_id": p, "split": np.array([s for s, _ in splits], dtype=object)[at]}))
-        return pd.concat(out)
-
     answer = sets.select("component", "crosses")
     if plans:
-        small = sets.filter(F.col("m0") < least).select("component", *names, *draw).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "component"), F.lit(blocks)).cast("int"))
-        chosen = small.groupBy("block").applyInPandas(place, "component string, plan_id int, split string")
+        small = sets.filter(F.col("m0") < least).select("component", *names, *draw)
+        wanted = {p: np.outer([x for _, x in splits], total) - placed.get(p, 0) for p, splits in plans.items()}
+        chosen = _swept(small, names, wanted, plans, chains, seed)
+        named = F.element_at(F.array(*(F.array(*(F.lit(s) for s, _ in plans[p])) for p in plans)), F.array_position(F.array(*map(F.lit, plans)), F.col("plan_id")).cast("int"))
+        chosen = chosen.select("component", "plan_id", F.element_at(named, F.col("at") + 1).alias("split"))
         if fixed:
             chosen = chosen.unionByName(spark.createDataFrame(fixed, "component string, plan_id int, split string"))
         packed = chosen.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("plan_id", "split"))).alias("splits"))
@@ -193,10 +192,75 @@ def group_safe_splits(audit: DataFrame, targets: DataFrame, chains: int = 2, see
     return lookup_join(records.select("record_id", "component"), cut(answer), "component", "inner").select("record_id", "component", "crosses", "splits")
 
 
+def _swept(small: DataFrame, names: list[str], wanted: dict[int, np.ndarray], plans: dict[int, list[tuple[str, float]]], chains: int, seed: int) -> DataFrame:
+    """(component, plan_id, at): the split of each component of ``small`` in each plan, by number.
+
+    ``wanted`` has for each plan what its splits should hold of each measure in
+    ``names``. A block's chains are compared where the blocks are; what leaves the
+    executors is one sum for each plan, split and measure.
+    """
+    blocks = max(1, math.ceil(small.count() / BLOCK))
+    state = small.withColumn("now", F.lit(None).cast("map<int,int>"))
+    off = {p: np.zeros_like(w) for p, w in wanted.items()}
+
+    def run(pdf: pd.DataFrame, off: dict[int, np.ndarray], sweep: int) -> pd.DataFrame:
+        pdf = pdf.sort_values("component", ignore_index=True)
+        p, chain, block = (int(pdf[c][0]) for c in ("plan_id", "chain", "block"))
+        sizes, rng = pdf[names].to_numpy(float), np.random.default_rng([seed, p, block, sweep])
+        if sweep:
+            start = np.array([dict(x)[p] for x in pdf["now"]])
+            aims = np.zeros_like(wanted[p])
+            np.add.at(aims, start, sizes)
+            aims -= _whole_parts(off[p] / blocks, rng)  # this block's part of what is too much or too little over all
+        else:
+            share = np.maximum(wanted[p], 0) / np.maximum(np.maximum(wanted[p], 0).sum(axis=0), 1e-9)
+            start = _hashed(share[:, 0] if share[:, 0].sum() > 0 else np.array([x for _, x in plans[p]]), pdf[f"u{p}"].to_numpy())
+            aims = _whole_parts(share * sizes.sum(axis=0), rng)
+        cost, at = _anneal(sizes, aims, start, seed + 7919 * block + 31 * sweep + chain, 4000 + 2 * len(sizes))
+        return pd.DataFrame({"block": [block], "plan_id": [p], "chain": [chain], "cost": [cost], "components": [pdf["component"].tolist()], "at": [at.tolist()]})
+
+    def run_with(off: dict[int, np.ndarray], sweep: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: run(pdf, off, sweep)
+
+    tasks = F.explode(F.array(*(F.struct(F.lit(p).alias("plan_id"), F.lit(c).alias("chain")) for p in plans for c in range(chains)))).alias("t")
+    for sweep in range(SWEEPS if blocks > 1 else 1):
+        dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(f"block {sweep}"), "component"), F.lit(blocks)).cast("int"))
+        tried = dealt.select("*", tasks).select(*dealt.columns, "t.*").groupBy("block", "plan_id", "chain").applyInPandas(
+            run_with(off, sweep), "block int, plan_id int, chain int, cost double, components array<string>, at array<int>"
+        )
+        best = tried.groupBy("block", "plan_id").agg(F.min_by(F.struct("components", "at"), F.struct("cost", "chain")).alias("b"))
+        chosen = cut(best.select("plan_id", F.explode(F.arrays_zip("b.components", "b.at")).alias("x")).select("plan_id", F.col("x.components").alias("component"), "x.at"))
+        if sweep + 1 < SWEEPS and blocks > 1:
+            now = chosen.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("plan_id", "at"))).alias("now"))
+            state = cut(small.join(now, "component"))
+            sums = state.select(F.explode("now").alias("plan_id", "at"), *names).groupBy("plan_id", "at").agg(*(F.sum(c).alias(c) for c in names))
+            off = {p: -w for p, w in wanted.items()}
+            for r in sums.collect():
+                off[r["plan_id"]][r["at"]] += np.array([float(r[c]) for c in names])
+    return chosen.select("component", "plan_id", "at")
+
+
 def split_report(assigned: DataFrame, audit: DataFrame, targets: DataFrame) -> DataFrame:
-    """(plan_id, split, records, share_permille, target_permille): the shares reached beside those asked for."""
-    rows = assigned.select(F.explode("splits").alias("s")).select("s.*").groupBy("plan_id", "split").agg(F.count(F.lit(1)).alias("records"))
-    plans = F.broadcast(targets.groupBy("plan_id", "split").agg(F.max("target_permille").alias("target_permille")))
+    """(plan_id, split, records, share_permille, target_permille, label_deviation_permille, worst_label_permille): what was reached beside what was asked for.
+
+    The label deviations are of the split's share of the boxes of each class from
+    the plan's share: the mean over all classes, and the greatest.
+    """
+    cols = ["plan_id", "split"]
+    split = assigned.select("record_id", F.explode("splits").alias("s")).select("record_id", "s.*")
+    rows = split.groupBy(*cols).agg(F.count(F.lit(1)).alias("records"))
+    plans = targets.filter("plan_id is not null and split is not null and target_permille > 0").groupBy(*cols).agg(F.max("target_permille").alias("target_permille"))
+    plans = plans.join(plans.groupBy("plan_id").agg(F.sum("target_permille").alias("whole")), "plan_id")
     totals = rows.groupBy("plan_id").agg(F.sum("records").alias("all"))
-    found = rows.join(F.broadcast(totals), "plan_id").join(plans, ["plan_id", "split"], "full")
-    return found.select("plan_id", "split", F.coalesce("records", F.lit(0)).alias("records"), F.round(1000 * F.col("records") / F.col("all"), 2).alias("share_permille"), "target_permille")
+    labels = audit.filter("record_id is not null").groupBy("record_id").agg(F.max(F.array_sort(F.filter(F.transform("boxes", lambda b: b["class_id"]), lambda c: c.isNotNull()))).alias("labels"))
+    boxes = split.join(labels, "record_id").select(*cols, F.explode("labels").alias("label")).groupBy(*cols, "label").agg(F.count(F.lit(1)).alias("n"))
+    classes = boxes.groupBy("plan_id", "label").agg(F.sum("n").alias("of"))
+    # a row for each split and class of a plan, also where the split has none of the class
+    every = plans.select(*cols, "target_permille", "whole").join(F.broadcast(classes), "plan_id").join(boxes, [*cols, "label"], "left")
+    apart = F.abs(F.coalesce("n", F.lit(0)) / F.col("of") - F.col("target_permille") / F.col("whole")) * 1000
+    labelled = every.groupBy(*cols).agg(F.round(F.avg(apart), 2).alias("label_deviation_permille"), F.round(F.max(apart), 2).alias("worst_label_permille"))
+    found = plans.join(rows, cols, "left").join(totals, "plan_id", "left").join(labelled, cols, "left")
+    return found.select(
+        *cols, F.coalesce("records", F.lit(0)).alias("records"), F.round(1000 * F.coalesce("records", F.lit(0)) / F.col("all"), 2).alias("share_permille"), "target_permille",
+        "label_deviation_permille", "worst_label_permille",
+    )

@@ -160,3 +160,32 @@ def test_reduction_to_the_bare_core_gives_the_same(spark):
     assert parts[0] == parts[1] == sorted([sorted({*range(41), 100, 101, 102, 500}), [200, 201]])
     with pytest.raises(RuntimeError):
         reduced_components(df, max_rounds=1, small_step=0.0)
+
+
+def test_labels_are_balanced_each_by_itself(spark, monkeypatch):
+    """Twenty classes of very different size: the search lowers the deviation of a hashed start, in size and in labels, over several blocks."""
+    import random
+
+    monkeypatch.setattr(S, "BLOCK", 200)
+    rng = random.Random(8)
+    rows = [(i, "d", f"g{i // 3}", None, "train", 0, [(min(int(rng.expovariate(0.3)), 19), 0.5, 0.5, 0.1, 0.1) for _ in range(i % 4)]) for i in range(3000)]
+    a = spark.createDataFrame(rows, "record_id bigint, dataset_id string, group_id string, source_video_group string, source_split string, phash bigint, boxes array<struct<class_id:int,center_x:double,center_y:double,width:double,height:double>>")
+    t = spark.createDataFrame([(1, "train", 700), (1, "val", 200), (1, "test", 100)], "plan_id int, split string, target_permille int")
+    reports = {}
+    for steps in (0, 1):
+        if not steps:
+            keep = S._anneal
+            monkeypatch.setattr(S, "_anneal", lambda sizes, aims, start, seed, steps: (0.0, start))
+        else:
+            monkeypatch.setattr(S, "_anneal", keep)
+        reports[steps] = S.split_report(S.group_safe_splits(a, t), a, t).collect()
+    off = {k: sum(abs(r["share_permille"] - r["target_permille"]) for r in rs) for k, rs in reports.items()}
+    labels = {k: max(r["label_deviation_permille"] for r in rs) for k, rs in reports.items()}
+    assert off[1] < 4 and off[1] < off[0] and labels[1] < 0.5 * labels[0]
+
+
+def test_more_labels_than_bounded_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_LABELS", 2)
+    a = spark.createDataFrame([(i, "d", None, None, "train", 0, [(i, 0.5, 0.5, 0.1, 0.1)]) for i in range(3)], "record_id bigint, dataset_id string, group_id string, source_video_group string, source_split string, phash bigint, boxes array<struct<class_id:int,center_x:double,center_y:double,width:double,height:double>>")
+    with pytest.raises(ValueError):
+        S.group_safe_splits(a, spark.createDataFrame([(1, "x", 1)], "plan_id int, split string, target_permille int"))
