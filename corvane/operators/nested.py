@@ -3,12 +3,13 @@
 Flattening works on Arrow buffers: a list column's offsets give its child array
 and, for each child, the index of its parent; keys travel down by one vectorised
 take. No row is visited in Python. Records that come as JSON documents of varying
-shape are first parsed into the same nested Arrow type.
+shape are scanned as one buffer of bytes (``functions.json_arrays``): parent
+indices of all their values tell, by the same kernels, which hold instances,
+polygons and coordinates, and give the same nested Arrow type.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,97 +18,178 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INSTANCE = "struct<class_id:int,attr_id:string,bbox:array<double>,polygons:array<array<double>>>"
-_ARROW = pa.list_(pa.struct([("class_id", pa.int32()), ("attr_id", pa.string()), ("bbox", pa.list_(pa.float64())), ("polygons", pa.list_(pa.list_(pa.float64())))]))
-
-
-def _number(x: object) -> float | None:
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
-
-
-def _whole(x: object) -> int | None:
-    n = _number(x)
-    return int(n) if n is not None and n == n and abs(n) < 2**31 and n == int(n) else None
-
-
-def _is_point(x: object) -> bool:
-    return (isinstance(x, list) and len(x) == 2 and all(_number(v) is not None for v in x)) or (isinstance(x, dict) and "x" in x and "y" in x)
-
-
-def _coordinates(x: object) -> list[float | None] | None:
-    """One polygon as a flat list: numbers, [x, y] pairs, {x, y} objects, or an object with points."""
-    if isinstance(x, dict):
-        return _coordinates(x["points"]) if "points" in x else [_number(x["x"]), _number(x["y"])] if _is_point(x) else None
-    if not isinstance(x, list):
-        return None
-    flat: list[float | None] = []
-    for v in x:
-        if isinstance(v, (list, dict)):
-            flat += _coordinates(v) or []
-        else:
-            flat.append(_number(v))
-    return flat
-
-
-def _members(x: object) -> list:
-    return list(x.values()) if isinstance(x, dict) else x if isinstance(x, list) else []
+from ..functions.json_arrays import Values
+from ..session import cut
 
-
-def _polygons(x: object) -> list | None:
-    """A list of polygons from any of the shapes delivered; null and empty entries keep their place."""
-    if isinstance(x, dict):
-        return [_coordinates(x)] if "points" in x else [_coordinates(v) for v in x.values()]
-    if not isinstance(x, list):
-        return None
-    there = [v for v in x if v is not None]
-    bare = bool(there) and (all(_number(v) is not None for v in there) or all(_is_point(v) for v in there))
-    return [_coordinates(x)] if bare else [_coordinates(v) for v in x]
-
-
-def _bbox(x: object) -> list[float | None] | None:
-    if isinstance(x, dict):
-        return [_number(x.get(k)) for k in ("x", "y", "w", "h")]
-    return [_number(v) for v in x] if isinstance(x, list) else None
-
-
-def _instance(x: object) -> dict | None:
-    if not isinstance(x, dict):
-        return None
-    name = x.get("attr_id")
-    return {"class_id": _whole(x.get("class_id")), "attr_id": name if isinstance(name, str) else None, "bbox": _bbox(x.get("bbox")), "polygons": _polygons(x.get("polygons"))}
+INSTANCE = "struct<class_id:int,attr_id:string,bbox:array<double>,polygons:array<array<double>>>"
 
 
-def _of_payload(text: str | None) -> dict:
-    """The record in one JSON document, whichever envelope it came in; no instances where it is not one."""
-    try:
-        doc = json.loads(text) if text else None
-    except (ValueError, RecursionError):
-        doc = None
-    doc = doc if isinstance(doc, dict) else {}
-    body = doc.get("record") if isinstance(doc.get("record"), dict) else doc
-    image = body.get("image") if isinstance(body.get("image"), dict) else body
-    size = image.get("size", body.get("size"))
-    if isinstance(size, dict):
-        size = [size.get("width"), size.get("height")]
-    elif not isinstance(size, list):
-        size = [image.get("width"), image.get("height")]
-    found: list | None = None
-    layers = body.get("annotations")
-    for holder in [body, *(layers if isinstance(layers, list) else [layers])]:
-        if isinstance(holder, dict) and isinstance(holder.get("instances"), (list, dict)):
-            found = (found or []) + [_instance(v) for v in _members(holder["instances"])]
-    image_id, negative = image.get("image_id"), doc.get("negative_for_profile", body.get("negative_for_profile"))
-    size = [*size, None, None]
-    return {"image_id": image_id if isinstance(image_id, str) else None, "width": _whole(size[0]), "height": _whole(size[1]), "negative": negative if isinstance(negative, bool) else None, "instances": found}
+def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
+    """``values`` as ``n`` lists, each of those with its number in ``owner``, which is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), values)
+
+
+def _whole(numbers: pa.Array) -> pa.Array:
+    x = numbers.to_numpy(zero_copy_only=False).astype(float)
+    fine = np.isfinite(x) & (x == np.rint(x)) & (np.abs(x) < 2**31)
+    return pa.array(np.where(fine, x, 0).astype(np.int32), mask=~fine)
+
+
+class _Payloads:
+    """The records in JSON documents of changing shape, whichever envelope they came in, as arrays over all documents of a batch."""
+
+    def __init__(self, documents: pa.Array) -> None:
+        v = self.v = Values(documents)
+        self.n = len(documents)
+        none = len(v.at)  # an extra row that stands for an absent value
+        self.kind = np.append(v.kind, 0)
+        self.of = {name: np.append(np.where((m := v.member(name)) < 0, none, m), none) for name in (
+            "record", "image", "size", "width", "height", "image_id", "negative_for_profile", "annotations", "instances", "class_id", "attr_id", "bbox", "polygons", "points", "x", "y", "w", "h")}
+        self.root = np.full(self.n, none)
+        roots = np.flatnonzero(v.parent < 0)
+        self.root[v.document[roots]] = roots
+        self.root = np.where(self.is_object(self.root), self.root, none)
+        inner = self.of["record"][self.root]
+        self.body = np.where(self.is_object(inner), inner, self.root)
+
+    def is_object(self, rows: np.ndarray) -> np.ndarray:
+        return self.kind[rows] == ord("{")
+
+    def is_list(self, rows: np.ndarray) -> np.ndarray:
+        return self.kind[rows] == ord("[")
+
+    def is_number(self, rows: np.ndarray) -> np.ndarray:
+        k = self.kind[rows]
+        return (k == ord("-")) | ((k >= ord("0")) & (k <= ord("9")))
+
+    def children(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, which of ``parents`` each belongs to) of their entries and members; ``parents`` are different values."""
+        which = np.full(len(self.kind), -1)
+        which[parents] = np.arange(len(parents))
+        which[-1] = -1  # an absent value has none
+        of = np.where(self.v.parent >= 0, which[self.v.parent], -1)
+        rows = np.flatnonzero(of >= 0)
+        return rows, of[rows]
+
+    def numbers(self, rows: np.ndarray) -> pa.Array:
+        there = rows < len(self.v.at)
+        found = self.v.numbers(rows[there])
+        place = np.full(len(rows), -1)
+        place[there] = np.arange(int(there.sum()))
+        return found.take(pa.array(place, mask=~there))
+
+    def strings(self, rows: np.ndarray) -> pa.Array:
+        there = self.kind[rows] == ord('"')
+        place = np.full(len(rows), -1)
+        place[there] = np.arange(int(there.sum()))
+        return self.v.strings(rows[there]).take(pa.array(place, mask=~there)).cast(pa.string())
+
+    def header(self) -> dict[str, pa.Array]:
+        of, body, none = self.of, self.body, len(self.kind) - 1
+        image = np.where(self.is_object(of["image"][body]), of["image"][body], body)
+        size = np.where(of["size"][image] < none, of["size"][image], of["size"][body])
+        sides = []
+        listed, which = self.children(np.unique(size[self.is_list(size)]))
+        for k, side in enumerate(("width", "height")):
+            at = np.full(len(self.kind), none)
+            nth = listed[self.v.place[listed] == k]
+            at[self.v.parent[nth]] = nth
+            sides.append(np.where(self.is_object(size), of[side][size], np.where(self.is_list(size), at[size], of[side][image])))
+        negative = np.where(of["negative_for_profile"][self.root] < none, of["negative_for_profile"][self.root], of["negative_for_profile"][body])
+        flag = self.kind[negative]
+        return {
+            "image_id": self.strings(of["image_id"][image]), "width": _whole(self.numbers(sides[0])), "height": _whole(self.numbers(sides[1])),
+            "negative_for_profile": pa.array(flag == ord("t"), mask=(flag != ord("t")) & (flag != ord("f"))),
+        }
+
+    def instances(self) -> pa.Array:
+        """Of each document its instances, those of the body first, then those of its annotations in order."""
+        of, body, none = self.of, self.body, len(self.kind) - 1
+        notes = of["annotations"][body]
+        docs = np.arange(self.n)
+        entries, which = self.children(np.where(self.is_list(notes), notes, none)[self.is_list(notes)])
+        owner = docs[self.is_list(notes)][which]
+        plain = self.is_object(notes)
+        holders = np.concatenate([body, notes[plain], entries])
+        doc = np.concatenate([docs, docs[plain], owner])
+        turn = np.concatenate([np.zeros(self.n, np.int64), np.ones(int(plain.sum()), np.int64), 1 + self.v.place[entries]])
+        held = of["instances"][holders]
+        keep = self.is_object(held) | self.is_list(held)
+        rows, which = self.children(held[keep])
+        order = np.lexsort([self.v.place[rows], turn[keep][which], doc[keep][which]])
+        rows, doc = rows[order], doc[keep][which][order]
+        there = self.is_object(rows)
+        part = lambda name: np.where(there, of[name][rows], none)
+        fields = [_whole(self.numbers(part("class_id"))), self.strings(part("attr_id")), self._boxes(part("bbox")), self._polygons(part("polygons"))]
+        return _lists(pa.StructArray.from_arrays(fields, names=["class_id", "attr_id", "bbox", "polygons"], mask=pa.array(~there)), doc, self.n)
+
+    def _boxes(self, box: np.ndarray) -> pa.Array:
+        named, listed = np.flatnonzero(self.is_object(box)), np.flatnonzero(self.is_list(box))
+        rows, which = self.children(box[listed])
+        values = np.concatenate([*(self.of[k][box[named]] for k in "xywh"), rows])
+        owner = np.concatenate([*([named] * 4), listed[which]])
+        order = np.argsort(owner, kind="stable")
+        return _lists(self.numbers(values[order]), owner[order], len(box))
+
+    def _points(self, rows: np.ndarray) -> np.ndarray:
+        """Whether values are points: lists of two numbers or objects with x and y."""
+        none = len(self.kind) - 1
+        pairs = np.flatnonzero(self.is_list(rows))
+        inner, which = self.children(rows[pairs])
+        count, numeric = np.bincount(which, minlength=len(pairs)), np.bincount(which[self.is_number(inner)], minlength=len(pairs))
+        out = self.is_object(rows) & (self.of["x"][rows] < none) & (self.of["y"][rows] < none)
+        out[pairs] = (count == 2) & (numeric == 2)
+        return out
+
+    def _polygons(self, held: np.ndarray) -> pa.Array:
+        """Of each instance its polygons as flat lists; a polygon without the list around it is the only one."""
+        none = len(self.kind) - 1
+        containers = np.flatnonzero(self.is_object(held) | self.is_list(held))
+        rows, which = self.children(held[containers])
+        solid = self.kind[rows] != ord("n")
+        count = lambda mask: np.bincount(which[mask], minlength=len(containers))
+        filled = count(solid)
+        bare = (filled > 0) & self.is_list(held[containers]) & ((count(solid & self.is_number(rows)) == filled) | (count(solid & self._points(rows)) == filled))
+        bare |= self.is_object(held[containers]) & (self.of["points"][held[containers]] < none)
+        kept = ~bare[which]
+        polygon = np.concatenate([held[containers[bare]], rows[kept]])
+        owner = np.concatenate([containers[bare], containers[which[kept]]])
+        order = np.lexsort([polygon, owner])
+        polygon, owner = polygon[order], owner[order]
+        # Coordinates hang below their polygon by lists, by the points of an object and by the x and y of a point.
+        mine = np.full(none + 1, -1)
+        mine[polygon] = np.arange(len(polygon))
+        mine[none] = -1
+        parent = self.v.parent
+        up = np.maximum(parent, 0)
+        turn = np.zeros(none, np.int64)
+        point = self.is_object(np.arange(none)) & (self.of["x"][:-1] < none) & (self.of["y"][:-1] < none) & (self.of["points"][:-1] == none)
+        edge = (parent >= 0) & self.is_list(up) if none else np.zeros(0, bool)
+        for name, place, inside in (("points", 0, self.is_object(np.arange(none)) & (self.of["points"][:-1] < none)), ("x", 0, point), ("y", 1, point)):
+            child = self.of[name][:-1][inside]
+            edge[child], turn[child] = True, place
+        level = np.flatnonzero(mine[:-1] >= 0)
+        found = [np.zeros(0, np.int64)]
+        while len(level):
+            below = np.zeros(none + 1, bool)
+            below[level] = True
+            level = np.flatnonzero(edge & below[up] & (parent >= 0))
+            mine[level] = mine[parent[level]]
+            scalar = ~(self.is_object(level) | self.is_list(level))
+            found.append(level[scalar])
+            level = level[~scalar]
+        coordinate = np.concatenate(found)
+        begin = np.where(turn[coordinate] + point[up[coordinate]] > 0, parent[coordinate], coordinate)  # x before y, whichever came first
+        order = np.lexsort([turn[coordinate], begin, mine[coordinate]])
+        coordinate = coordinate[order]
+        flat = _lists(self.numbers(coordinate), mine[coordinate], len(polygon))
+        return _lists(flat, owner, len(held))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [_of_payload(t) for t in b.column("payload").to_pylist()]
-        col = lambda k, t: pa.array([r[k] for r in rows], t)  # noqa: B023, E731
-        names = ["row_id", "image_id", "width", "height", "negative_for_profile", "instances"]
-        arrays = [b.column("row_id"), col("image_id", pa.string()), col("width", pa.int32()), col("height", pa.int32()), col("negative", pa.bool_()), col("instances", _ARROW)]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        p = _Payloads(b.column("payload"))
+        yield _batch({"row_id": b.column("row_id"), **p.header(), "instances": p.instances()})
 
 
 _RECORD = f"row_id bigint, image_id string, width int, height int, negative_for_profile boolean, instances array<{INSTANCE}>"
@@ -119,7 +201,8 @@ def processed_as_records(processed: DataFrame) -> DataFrame:
 
 def payloads_as_records(payloads: DataFrame) -> DataFrame:
     """The JSON documents of ``payloads`` (payload_id, payload) as records of the common nested type."""
-    return payloads.select(F.col("payload_id").alias("row_id"), "payload").mapInArrow(_parse, _RECORD)
+    sound = F.when(F.from_json("payload", "map<string,string>").isNotNull(), F.col("payload"))  # the JVM's parser refuses what is no JSON object
+    return payloads.select(F.col("payload_id").alias("row_id"), sound.alias("payload")).mapInArrow(_parse, _RECORD)
 
 
 def children(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -240,3 +323,15 @@ def both_sources(processed: DataFrame, payloads: DataFrame, which: str) -> DataF
     make = flat_records if which == "records" else lambda df: flatten(df, which)
     tag = lambda df, name: make(df).select(F.lit(name).alias("source_table"), "*")
     return tag(processed_as_records(processed), "processed_records").unionByName(tag(payloads_as_records(payloads), "record_payloads"))
+
+
+def all_tables(processed: DataFrame, payloads: DataFrame) -> dict[str, DataFrame]:
+    """``records``, ``instances``, ``polygons``, ``points`` and ``places`` of both deliveries, the documents being scanned once for all of them."""
+    one, two = processed_as_records(processed), cut(payloads_as_records(payloads))
+
+    def both(which: str) -> DataFrame:
+        make = flat_records if which == "records" else lambda df: flatten(df, which)
+        tag = lambda df, name: make(df).select(F.lit(name).alias("source_table"), "*")
+        return tag(one, "processed_records").unionByName(tag(two, "record_payloads"))
+
+    return {which: both(which) for which in ("records", *TABLES)}
