@@ -127,6 +127,27 @@ def suppress(detections: DataFrame, keys: list[str], iou: float = 0.3, top_k: in
     return rows.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", id {kinds['id']}")
 
 
+def matched(iou: np.ndarray, counted: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(taken, counts), each ranges x thresholds x detections: whether a detection takes a truth, and whether one that counts.
+
+    Detections come best first. Under every range of areas and every threshold each
+    takes a truth that is still free and overlaps enough: one that counts in the
+    range before one that does not, among those the one of greatest overlap. All
+    ranges and thresholds are decided together, one detection after the other.
+    """
+    n, m = iou.shape
+    free = np.ones((len(counted), len(thresholds), m), bool)
+    taken, counts = np.zeros((2, len(counted), len(thresholds), n), bool)
+    rows, cols = np.ogrid[: len(counted), : len(thresholds)]
+    for k in range(n if m else 0):
+        worth = np.where(free & (iou[k] >= thresholds[:, None]), iou[k] + 2.0 * counted[:, None, :], -1.0)
+        best = worth.argmax(axis=2)
+        found = np.take_along_axis(worth, best[..., None], 2)[..., 0] > 0
+        free[rows, cols, best] &= ~found
+        taken[:, :, k], counts[:, :, k] = found, found & counted[rows, best]
+    return taken, counts
+
+
 def coco_matches(truths: DataFrame, detections: DataFrame, image: str = "image_id", name: str = "class_id", most: int = 100) -> DataFrame:
     """One row a detection and area range: (class, area, score, place in its image, hits and ignored as bits over IOUS).
 
@@ -135,40 +156,21 @@ def coco_matches(truths: DataFrame, detections: DataFrame, image: str = "image_i
     so is an unmatched detection outside it.
     """
     rows = per_image(truths, detections, [image, name])
+    limits, thresholds, bits = np.array(list(AREAS.values())), np.array(IOUS), 1 << np.arange(len(IOUS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
                 t, d = _arrays(r.t, 4), _arrays(r.d, 5)[:most]
-                full, ta, da = iou_matrix(d[:, 1:], t), t[:, 2] * t[:, 3], d[:, 3] * d[:, 4]
-                top = full.max(axis=1) if full.size else np.zeros(len(d))
-                for area, (low, high) in AREAS.items():
-                    ignored = (ta < low) | (ta > high)
-                    order = np.argsort(ignored, kind="stable")
-                    m, ig = full[:, order], ignored[order]
-                    hit, skip = np.zeros(len(d), int), np.zeros(len(d), int)
-                    beyond = (da < low) | (da > high)
-                    for b, th in enumerate(IOUS):
-                        near = np.flatnonzero(top >= min(th, 1 - 1e-10))
-                        skip |= (beyond & (top < min(th, 1 - 1e-10))).astype(int) << b
-                        taken = np.zeros(len(t), bool)
-                        for k in near.tolist():
-                            best, j = min(th, 1 - 1e-10), -1
-                            for g in range(len(t)):
-                                if taken[g]:
-                                    continue
-                                if j > -1 and not ig[j] and ig[g]:
-                                    break
-                                if m[k, g] >= best:
-                                    best, j = m[k, g], g
-                            if j > -1:
-                                taken[j] = True
-                                hit[k] |= (not ig[j]) << b
-                                skip[k] |= int(ig[j]) << b
-                            elif beyond[k]:
-                                skip[k] |= 1 << b
-                    out += [(getattr(r, name), area, d[k, 0], f"{getattr(r, image)}", k, int(hit[k]), int(skip[k])) for k in range(len(d))]
+                within = lambda a: (a >= limits[:, :1]) & (a <= limits[:, 1:])
+                taken, counts = matched(iou_matrix(d[:, 1:], t), within(t[:, 2] * t[:, 3]), thresholds)
+                outside = ~within(d[:, 3] * d[:, 4])[:, None, :]
+                hits = np.tensordot(bits, counts, (0, 1))
+                ignored = np.tensordot(bits, (taken & ~counts) | (~taken & outside), (0, 1))
+                cls, img = getattr(r, name), f"{getattr(r, image)}"
+                for a, area in enumerate(AREAS):
+                    out += zip([cls] * len(d), [area] * len(d), d[:, 0], [img] * len(d), range(len(d)), hits[a], ignored[a])
             yield pd.DataFrame(out, columns=["class_id", "area", "score", "image", "place", "hits", "ignored"])
 
     return rows.mapInPandas(run, "class_id int, area string, score double, image string, place int, hits int, ignored int")

@@ -69,6 +69,42 @@ def instance_error(i: Column, width: Column, height: Column, class_ids: list[int
     return F.coalesce(before, in_polygons, flat)
 
 
+def delivery_errors(split: Column, image_split: Column, expected: Column, path: Column, project: str, images: str, known: Column) -> Column:
+    """First fault of a record as it was delivered: its splits against the one its file is named after, its image's path and file.
+
+    ``images`` is the folder of the release below ``project``, with a folder a
+    split; a relative path is below the project, and one that climbs out of it is
+    outside. ``known`` tells whether the file is there.
+    """
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(project.rstrip("/") + "/"), path))
+    climbs = F.regexp_like(whole, F.lit(r"(^|/)\.\.(/|$)"))
+    folder = F.concat(F.lit(f"{project.rstrip('/')}/{images}/"), expected, F.lit("/"))
+    return first_true(
+        ("record_split_does_not_match_filename", ~split.eqNullSafe(expected)),
+        ("record_image_split_does_not_match_annotation_split", ~image_split.eqNullSafe(expected)),
+        ("image_path_outside_project", path.isNotNull() & (climbs | ~whole.startswith(project.rstrip("/") + "/"))),
+        ("image_path_outside_same_release_split", path.isNotNull() & ~F.startswith(whole, folder)),
+        ("image_file_missing", path.isNotNull() & ~known),
+    )
+
+
+def json_lines_errors(lines: DataFrame, schema: str) -> DataFrame:
+    """``lines`` (file, line_no, raw) with ``record`` under ``schema`` and ``error``, ``invalid_json`` where the line is no JSON object; blank lines are left out."""
+    read = lines.filter(F.trim("raw") != "").withColumn("record", F.from_json("raw", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("record").isNull() | F.col("record._corrupt").isNotNull()
+    return read.select("*", F.when(bad, "invalid_json").alias("error"))
+
+
+def geometry_contract(width: Column, height: Column, box: tuple[Column, ...], polygon: Column, runs: Column) -> Column:
+    """First fault of a region: ``bad_size``, ``outside`` or ``empty_box`` (corners x0, y0, x1, y1), ``too_few_points``, ``run_lengths``; null parts are not checked."""
+    x0, y0, x1, y1 = box
+    total = F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return first_true(
+        ("bad_size", (width < 1) | (height < 1)), ("empty_box", (x1 <= x0) | (y1 <= y0)), ("outside", (x0 < 0) | (y0 < 0) | (x1 > width) | (y1 > height)),
+        ("too_few_points", (F.size(polygon) < 6) & polygon.isNotNull()), ("run_lengths", (total != width.cast("bigint") * height) | F.exists(runs, lambda r: r < 0)),
+    )
+
+
 def validate_records(records: DataFrame, class_ids: list[int], release: str) -> DataFrame:
     """``records`` with ``error``, the first fault of the record or of its first faulty instance, and ``sound``,
     the number of instances before that one (all of them where the record is sound, none where the record itself fails)."""

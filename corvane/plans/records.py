@@ -122,6 +122,31 @@ def pf7(s: SparkSession, d: str) -> DataFrame:
     return R.validate_records(table(s, d, "processed_records"), ids, "visual_redactions_v1").select("row_id", "error", "sound")
 
 
+@query("pf7_delivery_errors", """WITH x AS (SELECT row_id, redactions_split AS split, CASE WHEN row_id % 19 = 0 THEN 'train2017' ELSE redactions_split END AS expected, CASE WHEN row_id % 23 = 0 THEN 'val2017' ELSE redactions_split END AS image_split,
+  CASE WHEN row_id % 29 = 0 THEN '../' || image_path WHEN row_id % 31 = 0 THEN '/elsewhere/' || image_path ELSE image_path END AS path, image_id FROM processed_records),
+k AS (SELECT DISTINCT images.image_id AS image_id FROM same_release_split_leakage_audit)
+SELECT row_id, CASE WHEN split IS DISTINCT FROM expected THEN 'record_split_does_not_match_filename' WHEN image_split IS DISTINCT FROM expected THEN 'record_image_split_does_not_match_annotation_split'
+  WHEN path LIKE '../%' OR path LIKE '/elsewhere/%' THEN 'image_path_outside_project' WHEN NOT starts_with(path, 'images/' || expected || '/') THEN 'image_path_outside_same_release_split' WHEN path IS NOT NULL AND k.image_id IS NULL THEN 'image_file_missing' END AS error
+FROM x LEFT JOIN k USING (image_id)""")
+def pf7b(s: SparkSession, d: str) -> DataFrame:
+    """Delivery faults of the records; files are those whose image was scanned."""
+    k = table(s, d, "same_release_split_leakage_audit").select("images.image_id", F.lit(True).alias("known")).distinct()
+    x, split = table(s, d, "processed_records").select("row_id", "image_id", "redactions_split", "image_path").join(k, "image_id", "left"), C("redactions_split")
+    path = F.when(C("row_id") % 29 == 0, F.concat(F.lit("../"), "image_path")).when(C("row_id") % 31 == 0, F.concat(F.lit("/elsewhere/"), "image_path")).otherwise(C("image_path"))
+    image_split = F.when(C("row_id") % 23 == 0, "val2017").otherwise(split)
+    expected = F.when(C("row_id") % 19 == 0, "train2017").otherwise(split)
+    return x.select("row_id", R.delivery_errors(split, image_split, expected, path, "/project", "images", F.coalesce("known", F.lit(False))).alias("error"))
+
+
+@query("pf8_region_contract", f"""WITH {V.EVIDENCE_SQL} SELECT evidence_id, CASE WHEN x0 + w > width - 300 THEN 'outside' WHEN class_id = 4 THEN 'too_few_points' WHEN class_id = 7 THEN 'run_lengths' END AS error FROM evidence""")
+def pf8b(s: SparkSession, d: str) -> DataFrame:
+    polygon = F.when(C("class_id") == 4, F.array(C("x0"), C("y0"), C("x0"), C("y0") + 1)).otherwise(G.rectangle_polygon(C("x0"), C("y0"), C("w"), C("h")))
+    area = C("width") * C("height")
+    runs = F.array(F.lit(1), area - 1 - F.when(C("class_id") == 7, 300 * C("height") + 1).otherwise(300 * C("height")))
+    box = (C("x0"), C("y0"), C("x0") + C("w"), C("y0") + C("h"))
+    return V.evidence(s, d).select("evidence_id", R.geometry_contract(C("width") - 300, C("height"), box, polygon, runs).alias("error"))
+
+
 @query("pf8_geometry_contract", f"""WITH {V.EVIDENCE_SQL}
 SELECT provider, count(*) FILTER (width < 1 OR height < 1) AS bad_size, count(*) FILTER (x0 + w > width OR y0 + h > height) AS outside, count(*) FILTER (w <= 0 OR h <= 0) AS empty_box, count(*) AS n FROM evidence GROUP BY 1""")
 def pf8(s: SparkSession, d: str) -> DataFrame:

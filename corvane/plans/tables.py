@@ -65,15 +65,22 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return label_export.loaded(_export(spark, d))
 
 
-@query("p5_rejected")
+@query("p5_rejected", f"SELECT raw_id, source_file, line_no, reason, raw FROM yolo_label_export JOIN ({_P5_SQL}) USING (raw_id)")
 def p5_rejected(spark: SparkSession, d: str) -> DataFrame:
     return label_export.rejected(_export(spark, d))
 
 
+_P6_POLYGONS = _P6_SQL[: _P6_SQL.index("poly AS (")] + """
+f AS (SELECT source_table, row_id, k, j, len(p) AS n, len(list_filter(p, lambda v: v IS NOT NULL)) AS there FROM app
+  UNION ALL SELECT source_table, row_id, k, j, CASE WHEN json_type(p) = 'OBJECT' THEN 2 * json_array_length(p -> '$.points') WHEN json_type(p -> '$[0]') IN ('ARRAY', 'OBJECT') THEN 2 * json_array_length(p) ELSE json_array_length(p) END, 1 FROM bpp WHERE json_type(p) IN ('ARRAY', 'OBJECT'))
+SELECT source_table, row_id, k::INT AS instance_no, j::INT AS polygon_no, ((n + 1) // 2)::INT AS n_points FROM f WHERE n > 0 AND there > 0"""
+_P6 = {"places": _P6_SQL, "polygons": _P6_POLYGONS}
+
+
 def _nested(which: str) -> None:
     name = "p6_found" if which == "places" else f"p6_{which}"
 
-    @query(name, _P6_SQL if which == "places" else None)
+    @query(name, _P6.get(which))
     def run(spark: SparkSession, d: str) -> DataFrame:
         return nested.both_sources(table(spark, d, "processed_records"), table(spark, d, "record_payloads"), which)
 
