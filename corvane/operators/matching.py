@@ -116,11 +116,14 @@ def suppress(detections: DataFrame, keys: list[str], iou: float = 0.3, top_k: in
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                d = _arrays(r.d, 5)[:top_k]
-                over, kept = iou_matrix(d[:, 1:], d[:, 1:]), []
-                for k in range(len(d)):
-                    if len(kept) < keep and not (over[k, kept] > iou).any():
-                        kept.append(k)
+                d = _arrays(r.d, 5)[:top_k, 1:]
+                free, kept = np.ones(len(d), bool), []
+                # each box that is kept strikes out those after it, so the work is kept x boxes and memory one row
+                while len(kept) < keep and free.any():
+                    k = int(free.argmax())
+                    kept.append(k)
+                    free &= iou_matrix(d[k : k + 1], d)[0] <= iou
+                    free[: k + 1] = False
                 out += [(*(getattr(r, c) for c in keys), r.ids[k]) for k in kept]
             yield pd.DataFrame(out, columns=[*keys, "id"])
 

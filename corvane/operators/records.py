@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -152,9 +151,15 @@ def reject_reason(score: Column, area: Column, image_area: Column) -> Column:
     )
 
 
-def keep_best(rows: DataFrame, key: str, best: list[Column]) -> DataFrame:
-    """``rows`` with ``place`` by ``best`` within ``key``; the first is kept, others are duplicates."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*best)))
+def keep_best(rows: DataFrame, key: str, size: str, ident: str) -> DataFrame:
+    """``rows`` with ``kept`` and ``most``: whether a row has the greatest ``size`` of its ``key``, of equals the least ``ident``, and that size.
+
+    The best of each key is aggregated before any shuffle and looked up, so a key
+    of any size is never sorted in one task. Rows with a null key are kept.
+    """
+    best = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(size).alias("most"), F.min_by(ident, F.struct(-F.col(size), ident)).alias("_best"))
+    found = lookup_join(rows, best, key)
+    return found.withColumn("kept", F.col(key).isNull() | (F.col(ident) == F.col("_best"))).drop("_best")
 
 
 def quarantine(records: DataFrame, listed: DataFrame, key: str) -> DataFrame:

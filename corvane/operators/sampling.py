@@ -22,7 +22,8 @@ def round_robin(records: DataFrame, bucket: str, key: str, n: int, seed: int) ->
 def negative_subsample(records: DataFrame, negative: str, key: str, multiplier: float, seed: int) -> DataFrame:
     """All positives and of the negatives at most positives x multiplier, rounded, by hash rank."""
     n = round(records.filter(~F.col(negative)).count() * multiplier)
-    return records.filter(~F.col(negative)).unionByName(records.filter(negative).orderBy(hash_rank(seed, F.col(key).cast("string")), key).limit(n))
+    ranked = global_rank(records.filter(negative), [hash_rank(seed, F.col(key).cast("string")), F.col(key)], "_place")
+    return records.filter(~F.col(negative)).unionByName(ranked.filter(F.col("_place") <= n).drop("_place"))
 
 
 def validation_groups(records: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:

@@ -141,8 +141,8 @@ def wn6(s: SparkSession, d: str) -> DataFrame:
     excluded = a.filter("source_split = 'test'").select("image_sha256").distinct()
     rest = a.filter("source_split <> 'test'")
     gone = rest.join(excluded, "image_sha256", "left_semi").select("record_id", F.lit("present_in_higher_priority_split").alias("verdict"))
-    kept = keep_best(rest.join(excluded, "image_sha256", "left_anti"), "image_sha256", [F.desc("n"), C("record_id")]).withColumn("m", F.max("n").over(W.partitionBy("image_sha256")))
-    return gone.unionByName(kept.select("record_id", F.when(C("place") == 1, "kept").when(C("n") < C("m"), "duplicate_with_fewer_instances").otherwise("duplicate_image").alias("verdict")))
+    kept = keep_best(rest.join(excluded, "image_sha256", "left_anti"), "image_sha256", "n", "record_id")
+    return gone.unionByName(kept.select("record_id", F.when(C("kept"), "kept").when(C("n") < C("most"), "duplicate_with_fewer_instances").otherwise("duplicate_image").alias("verdict")))
 
 
 @query("wn7_round_robin", f"""WITH {V.INSTANCES_SQL}, b AS (SELECT i.image_id, coalesce('classes:' || string_agg(DISTINCT class_id::VARCHAR, ',' ORDER BY class_id::VARCHAR), 'negative') AS bucket FROM images i LEFT JOIN instances n ON n.image_id = i.image_id GROUP BY 1),

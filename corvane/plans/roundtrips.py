@@ -66,3 +66,31 @@ def sk4(s: SparkSession, d: str) -> DataFrame:
     for half in (0, 1):
         S.append_events(rows.filter(C("event_id") % 2 == half).drop("event_id"), at)
     return s.read.schema("time_unix double, event string").json(at).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sc7_yaml_rules", "SELECT * FROM (VALUES ('maskrcnn', 'face', 0.6::DOUBLE, 1024, 0.12::DOUBLE), ('*', '*', 0.5::DOUBLE, 256, 0.25::DOUBLE)) r(provider, class_name, score, min_area, max_fraction)")
+def sc7(s: SparkSession, d: str) -> DataFrame:
+    at = _place(s)
+    lines = ["profile_id: p1", "rules:", "- {provider: maskrcnn, class_name: face, score: 0.6, min_area: 1024, max_fraction: 0.12}", "- {provider: '*', class_name: '*', score: 0.5, min_area: 256, max_fraction: 0.25}"]
+    s.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(at)
+    return S.read_rules(s, at)
+
+
+@query("sc9_wider_blocks", """SELECT 'r' || n_regionkey || '/' || n_nationkey || '.jpg' AS image, (n_nationkey % 3)::BIGINT AS boxes, CASE WHEN n_nationkey % 3 > 0 THEN (10 + n_nationkey)::DOUBLE END AS first_width FROM nation""")
+def sc9(s: SparkSession, d: str) -> DataFrame:
+    """A file a region of blocks of name, count and as many boxes, a count of 0 being followed by a row of zeros."""
+    n, k = table(s, d, "nation"), C("n_nationkey") % 3
+    row = F.concat_ws(" ", F.lit("1 2"), (C("n_nationkey") + 10).cast("string"), F.lit("30 0 0 0 0 0 0"))
+    boxes = F.when(k == 0, F.lit("0 0 0 0 0 0 0 0 0 0")).otherwise(F.array_join(F.array_repeat(row, k.cast("int")), "\n"))
+    block = F.concat_ws("\n", F.concat(F.lit("r"), C("n_regionkey").cast("string"), F.lit("/"), C("n_nationkey").cast("string"), F.lit(".jpg")), k.cast("string"), boxes)
+    files = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text"))
+    found = S.parse_wider(files)
+    return found.select("image", F.size("boxes").cast("bigint").alias("boxes"), F.get(F.get("boxes", F.lit(0)), F.lit(2)).alias("first_width"))
+
+
+@query("sc17_inventory", "SELECT p_brand AS kind, count(*) AS n FROM part GROUP BY 1")
+def sc17(s: SparkSession, d: str) -> DataFrame:
+    at = _place(s)
+    lines = table(s, d, "part").select(F.concat_ws("\t", "p_name", "p_brand").alias("value"))
+    lines.unionByName(s.createDataFrame([("name\tkind",), ("no tab here",)], "value string")).write.text(at)
+    return S.inventory_counts(s, at)

@@ -23,9 +23,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_with_errors(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, bad lines as file, line_no, raw). A file is read in order, so the number is that in the file."""
-    lines = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).filter(F.trim("raw") != "")
+    """(valid rows, bad lines as file, line_no, raw), line_no counting the lines of the file from 1.
+
+    Large files are read in blocks by many tasks: lines are numbered within a
+    block and shifted by the lines of the blocks before, one number a block.
+    """
+    from pyspark.sql import Window as W
+
+    meta = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_name").alias("file")]
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), *meta, F.monotonically_increasing_id().alias("_order"))
+    blocks = lines.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("_path", "_block").orderBy("_order"))
+    lines = lines.withColumn("_k", place).join(blocks.select("_path", "_block", before.alias("_before")), ["_path", "_block"])
+    lines = lines.select("file", (F.col("_k") + F.col("_before") - 1).cast("int").alias("line_no"), "raw").filter(F.trim("raw") != "")
     full = schema + ", _corrupt string"
     read = lines.withColumn("r", F.from_json("raw", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("r._corrupt").isNotNull() | F.col("r").isNull()

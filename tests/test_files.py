@@ -131,3 +131,16 @@ def test_providers(spark):
     assert tiled.filter("x1 > 2000 or y1 > 1500").count() == 0 and tiled.select("image_id").distinct().count() == 1
     with pytest.raises(ValueError):
         U.orchestrate(images, [U.StubProvider("a"), U.StubProvider("a")])
+
+
+def test_line_numbers_go_on_across_blocks(spark, tmp_path):
+    lines = [json.dumps({"image_id": str(i), "w": i}) if i % 97 else "{bad" for i in range(1, 3001)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text("{bad\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        good, bad = S.read_jsonl_with_errors(spark, str(tmp_path), "image_id string, w int")
+        assert {(r["file"], r["line_no"]) for r in bad.collect()} == {("a.jsonl", i) for i in range(97, 3001, 97)} | {("b.jsonl", 1)}
+        assert all(r["line_no"] == r["w"] for r in good.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
