@@ -74,7 +74,15 @@ _P6_POLYGONS = _P6_SQL[: _P6_SQL.index("poly AS (")] + """
 f AS (SELECT source_table, row_id, k, j, len(p) AS n, len(list_filter(p, lambda v: v IS NOT NULL)) AS there FROM app
   UNION ALL SELECT source_table, row_id, k, j, CASE WHEN json_type(p) = 'OBJECT' THEN 2 * json_array_length(p -> '$.points') WHEN json_type(p -> '$[0]') IN ('ARRAY', 'OBJECT') THEN 2 * json_array_length(p) ELSE json_array_length(p) END, 1 FROM bpp WHERE json_type(p) IN ('ARRAY', 'OBJECT'))
 SELECT source_table, row_id, k::INT AS instance_no, j::INT AS polygon_no, ((n + 1) // 2)::INT AS n_points FROM f WHERE n > 0 AND there > 0"""
-_P6 = {"places": _P6_SQL, "polygons": _P6_POLYGONS}
+_P6_RECORDS = _P6_SQL[: _P6_SQL.index("bp AS (")] + """
+n AS (SELECT source_table, row_id, count(*) AS n FROM (SELECT source_table, row_id FROM ap UNION ALL SELECT source_table, row_id FROM b WHERE json_type(i) = 'OBJECT') GROUP BY 1, 2),
+w AS (SELECT row_id, d, CASE WHEN json_type(d -> '$.record') = 'OBJECT' THEN d -> '$.record' ELSE d END AS b FROM d), m AS (SELECT *, CASE WHEN json_type(b -> '$.image') = 'OBJECT' THEN b -> '$.image' ELSE b END AS i FROM w),
+z AS (SELECT *, coalesce(i -> '$.size', b -> '$.size') AS z FROM m),
+r AS (SELECT 'processed_records' AS source_table, row_id, image_id, width, height, negative_for_profile FROM processed_records
+  UNION ALL SELECT 'record_payloads', row_id, i ->> '$.image_id', (CASE json_type(z) WHEN 'OBJECT' THEN z ->> '$.width' WHEN 'ARRAY' THEN z ->> '$[0]' ELSE i ->> '$.width' END)::INT,
+    (CASE json_type(z) WHEN 'OBJECT' THEN z ->> '$.height' WHEN 'ARRAY' THEN z ->> '$[1]' ELSE i ->> '$.height' END)::INT, (coalesce(d ->> '$.negative_for_profile', b ->> '$.negative_for_profile'))::BOOLEAN FROM z)
+SELECT r.*, coalesce(n, 0)::INT AS n_instances FROM r LEFT JOIN n USING (source_table, row_id)"""
+_P6 = {"places": _P6_SQL, "polygons": _P6_POLYGONS, "records": _P6_RECORDS}
 
 
 def _nested(which: str) -> None:
