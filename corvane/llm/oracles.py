@@ -64,13 +64,15 @@ e AS (
   UNION SELECT m.left_record_id, m.right_record_id FROM phash_matches m JOIN r a ON a.record_id = m.left_record_id JOIN r b ON b.record_id = m.right_record_id
   WHERE m.match_kind = 'sha256' OR (m.match_kind = 'phash' AND coalesce(m.phash_distance, bit_count(xor(a.phash, b.phash))) <= 2)),
 b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
-reach(x, y) AS (SELECT u, v FROM b UNION SELECT reach.x, b.v FROM reach JOIN b ON b.u = reach.y)
-SELECT least(x, min(y)) AS group_root, x AS record_id FROM reach GROUP BY x
+reach(x, y) AS (SELECT u, v FROM b UNION SELECT reach.x, b.v FROM reach JOIN b ON b.u = reach.y),
+g AS (SELECT least(x, min(y)) AS group_root, x AS record_id FROM reach GROUP BY x),
+a AS (SELECT coalesce(group_root, record_id) AS group_root, record_id FROM r LEFT JOIN g USING (record_id))
 """
 
 ORACLES: dict[str, str] = {
     "p1_found": _P1,
-    "p3_found": _P3,
+    "p3_found": _P3 + "SELECT * FROM g",
+    "p3_groups": _P3 + "SELECT group_root, record_id, count(*) OVER (PARTITION BY group_root) AS group_size FROM a",
     "p2_found": _P2 + "SELECT plan_id, attr_id FROM report WHERE available < want",
     "p2_report": _P2 + "SELECT plan_id, attr_id, available, want, least(available, want) AS taken, available < want AS short FROM report",
     "p4_found": _P4 + "SELECT DISTINCT least(train_id, image_id) AS left_image_id, greatest(train_id, image_id) AS right_image_id FROM pairs",
