@@ -70,7 +70,8 @@ def jn5(s: SparkSession, d: str) -> DataFrame:
 def jn6(s: SparkSession, d: str) -> DataFrame:
     u = V.hashes(s, d)
     splits = u.select("h", "split").distinct().groupBy("h").agg(F.collect_set("split").alias("sp"))
-    p = near_hash_pairs(u, u, 5).filter("g < h").join(splits.toDF("g", "gs"), "g").join(splits, "h")
+    # pairs are made in Python, where no size is known in advance, so they are never the side to broadcast
+    p = near_hash_pairs(u, u, 5).filter("g < h").hint("merge").join(splits.toDF("g", "gs"), "g").join(splits, "h")
     return p.filter((F.size(F.array_except("gs", "sp")) > 0) | (F.size(F.array_except("sp", "gs")) > 0) | (F.size("gs") > 1)).select("g", "h", "distance").orderBy("distance", "g", "h")
 
 

@@ -11,8 +11,11 @@ from corvane.operators.components import star_components
 from corvane.operators.ordering import global_rank, running_totals
 from corvane.operators.similarity import near_hash_pairs
 from corvane.plans.profile import upper_median
+from corvane.plans.registry import queries
 from corvane.session import bounded_values
 
+QUERIES = queries()
+
 
 def test_joins_with_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 50)
@@ -78,3 +81,30 @@ def test_near_hash_lists_widen_with_the_hashes(spark):
         pairs = similarity.block_lists(h, "g", plan).join(similarity.block_lists(h.select(F.col("g").alias("h")), "h", plan).select("h", "key"), "key")
         assert pairs.filter("g <> h").count() <= 1.5 * n * math.comb(len(plan.masks), plan.equal)
     assert [similarity.block_plan(10**e, 5).equal for e in (3, 5, 7, 9)] == [1, 2, 3, 5]
+
+
+def bits_apart(g, h):
+    return ((g ^ h) & (2**64 - 1)).bit_count()
+
+
+@pytest.mark.parametrize("mean, most", [(1 << 12, 1 << 20), (4, 10)])
+def test_near_hashes_in_cells_and_parts(spark, monkeypatch, mean, most):
+    """Two sides, nulls, repeats, extreme values; cells narrow and dealt into parts or not."""
+    monkeypatch.setattr(similarity, "CELL_MEAN", mean)
+    monkeypatch.setattr(similarity, "CELL_ROWS", most)
+    a = [r[0] for r in spark.range(60).select(F.xxhash64("id")).collect()] + [0, -1, 2**63 - 1, -(2**63)] + list(range(20))
+    b = [h ^ 0b10000010001 for h in a] + a[:9] + a[:3]
+    left, right = (spark.createDataFrame([(h,) for h in [*x, None]], "h bigint") for x in (a, b))
+    for one, other, x, y in ((left, right, a, b), (left, left, a, a)):
+        got = [tuple(r) for r in near_hash_pairs(one, other, 5).collect()]
+        assert sorted(got) == sorted((g, h, bits_apart(g, h)) for g in set(x) for h in set(y) if bits_apart(g, h) <= 5)
+    assert near_hash_pairs(left.limit(0), left.limit(0), 5).count() == near_hash_pairs(left, right.limit(0), 5).count() == 0
+
+
+def test_near_hashes_are_not_broadcast(spark, data):
+    """The lists of blocks outgrow every estimate, so neither they nor the pairs may be broadcast, whatever the threshold."""
+    h = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    plan = near_hash_pairs(h, h, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    first = QUERIES["jn6_ordered_near_hashes"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in first.split("SortMergeJoin")[-1] and first.count("BroadcastHashJoin") <= 1
