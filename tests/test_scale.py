@@ -108,3 +108,13 @@ def test_near_hashes_are_not_broadcast(spark, data):
     assert "Broadcast" not in plan and "Join" not in plan
     first = QUERIES["jn6_ordered_near_hashes"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in first.split("SortMergeJoin")[-1] and first.count("BroadcastHashJoin") <= 1
+
+
+def test_near_images_are_not_broadcast(spark, data):
+    """Neither while the pairs are made nor when they are expanded to images."""
+    plans, cut = [], similarity.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(similarity, "cut", lambda df: plans.append(plan(df)) or cut(df))
+        df = QUERIES["jn5_near_hashes"](spark, data)
+    assert plans and not any("Broadcast" in p for p in [*plans, plan(df)])
