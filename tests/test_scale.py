@@ -118,3 +118,15 @@ def test_near_images_are_not_broadcast(spark, data):
         m.setattr(similarity, "cut", lambda df: plans.append(plan(df)) or cut(df))
         df = QUERIES["jn5_near_hashes"](spark, data)
     assert plans and not any("Broadcast" in p for p in [*plans, plan(df)])
+
+
+def test_near_hashes_shuffle_a_row_a_block(spark, data):
+    """However many lists there are, a hash is shuffled once for each block that can be the first of one, and for each part of a crowded cell."""
+    h = spark.range(4000).select(F.xxhash64("id").alias("h"), F.lit(3).alias("side"))
+    for rows, lists in ((500_000, 84), (10**8, 462)):
+        plan = similarity.block_plan(rows, 6)
+        assert math.comb(len(plan.masks), plan.equal) == lists
+        assert similarity.cell_rows(h, plan, 4000).count() == 7 * 4000
+    got = {(r["g"], r["h"]): r["band"] for r in QUERIES["jn7_two_bands"](spark, data).collect()}
+    x = {r[0] for r in spark.read.parquet(f"{data}/audit_yolo_detection_dataset.parquet").select("phash").collect()} - {None}
+    assert got == {(g, h): "union" if bits_apart(g, h) <= 2 else "suspicious" for g in x for h in x if g < h and bits_apart(g, h) <= 6}
